@@ -46,7 +46,7 @@ def merge_islands(
     """The rows of ``df`` with the id of their merged interval in ``island``."""
     gap = gap if isinstance(gap, Column) else F.lit(gap)
     order = [start, end, *ties]
-    d = with_chunk(df, start, chunk_us, "__chunk")
+    d = with_chunk(df.drop("island"), start, chunk_us, "__chunk")
     d = ordered_scan(d, keys, "__chunk", order, [Scan("max_before", end, "__reach")])
     dist = F.col(start) - F.col("__reach")
     joined = (dist < gap) if strict else (dist <= gap)
@@ -82,18 +82,16 @@ def overlap_join(
         raise ValueError("only point spans may use an outer, semi or anti overlap join")
     s1, e1, s2, e2 = (F.col(c) for c in (*a_span, *b_span))
     x = a.withColumn("__bk", _buckets(s1, e1, bucket_us))
-    y = b.withColumn("__bk", _buckets(s2, e2, bucket_us))
-    on = [x[k] == y[k] for k in keys] + [x["__bk"] == y["__bk"], s1 <= e2, s2 <= e1]
-    on.append(x["__bk"] == F.floor(F.greatest(s1, s2) / F.lit(bucket_us)).cast("bigint"))
+    rest = [c for c in b.columns if c not in keys]
+    y = b.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *rest, _buckets(s2, e2, bucket_us).alias("__bk2"))
+    cond = (F.col("__bk") == F.col("__bk2")) & (s1 <= e2) & (s2 <= e1)
+    for k in keys:
+        cond = (F.col(k) == F.col(f"__k_{k}")) & cond
+    cond = cond & (F.col("__bk") == F.floor(F.greatest(s1, s2) / F.lit(bucket_us)).cast("bigint"))
     if condition is not None:
-        on.append(condition)
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
+        cond = cond & condition
     j = x.join(y, cond, how)
-    if how in ("left_semi", "left_anti"):
-        return j.select(*a.columns)
-    return j.select(*[x[c] for c in a.columns], *[y[c] for c in b.columns if c not in keys])
+    return j.select(*a.columns) if how in ("left_semi", "left_anti") else j.select(*a.columns, *rest)
 
 
 def tiou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

@@ -306,12 +306,12 @@ def q_window_mean(spark, folder):
 @query(
     "ema",
     f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS rn FROM ev),
-    f AS (SELECT user_id, event_id, rn, value / 7e0 AS e FROM o WHERE rn = 1
-      UNION ALL SELECT o.user_id, o.event_id, o.rn, f.e + 0.3e0 * (o.value / 7e0 - f.e) FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
+    f AS (SELECT user_id, event_id, rn, sqrt(value) AS e FROM o WHERE rn = 1
+      UNION ALL SELECT o.user_id, o.event_id, o.rn, f.e + 0.3e0 * (sqrt(o.value) - f.e) FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
     SELECT user_id, event_id, round(e, 6) AS ema FROM f""",
 )
 def q_ema(spark, folder):
-    e = events(spark, folder).select("user_id", "event_id", "t_us", (F.col("value") / 7.0).alias("value"))
+    e = events(spark, folder).select("user_id", "event_id", "t_us", F.sqrt("value").alias("value"))
     return series.ema(e, ["user_id"], ["t_us", "event_id"], "t_us", "value", 0.3, "e", 7 * ordered.DAY_US).select("user_id", "event_id", F.round("e", 6).alias("ema"))
 
 
