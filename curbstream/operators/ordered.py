@@ -42,7 +42,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence
     part = [*keys, chunk]
     local = Window.partitionBy(*part).orderBy(*order)
     outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(chunk)
-    aggs, carries = [], []
+    aggs: list[Column] = []
+    carries: list[Column] = []
     for i, s in enumerate(scans):
         c, name = F.col(s.col), f"__s{i}"
         present = F.when(c.isNotNull(), pos)
@@ -63,14 +64,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence
             carries.append(F.last(name, ignorenulls=True).over(outer.rowsBetween(UNB, -1)))
         elif s.kind == "next_after":
             aggs.append(F.min_by(c, present).alias(name))
-            carries.append(F.first(name, ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)))
+            back = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.col(chunk).desc())
+            carries.append(F.last(name, ignorenulls=True).over(back.rowsBetween(UNB, -1)))
         else:
             raise ValueError(s.kind)
     summary = df.groupBy(*part).agg(*aggs)
     summary = summary.select(*part, *[c.alias(f"__c{i}") for i, c in enumerate(carries)])
-    out = df
+    here: dict[str, Column] = {}
     for i, s in enumerate(scans):
-        c, name = F.col(s.col), f"__l{i}"
+        c = F.col(s.col)
         if s.kind == "lag":
             e = F.lag(F.struct(c.alias("v"))).over(local)
         elif s.kind == "lead":
@@ -86,20 +88,21 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence
         elif s.kind == "last":
             e = F.last(c, ignorenulls=True).over(local.rowsBetween(UNB, CUR))
         else:
-            e = F.first(c, ignorenulls=True).over(local.rowsBetween(1, Window.unboundedFollowing))
-        out = out.withColumn(name, e)
-    out = out.join(summary, part, "left")
+            # Backwards, so that the frame grows row by row; a frame that shrinks would be re-read at every row.
+            e = F.last(c, ignorenulls=True).over(Window.partitionBy(*part).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(UNB, -1))
+        here[f"__l{i}"] = e
+    out = df.withColumns(here).join(summary, part, "left")
     cols: list[Column] = []
     for i, s in enumerate(scans):
-        here, carry = F.col(f"__l{i}"), F.col(f"__c{i}")
+        own, carry = F.col(f"__l{i}"), F.col(f"__c{i}")
         if s.kind in ("lag", "lead"):
-            v = F.coalesce(here, carry)["v"]
+            v = F.coalesce(own, carry)["v"]
         elif s.kind in ("sum", "count"):
-            v = here + F.coalesce(carry, F.lit(0))
+            v = own + F.coalesce(carry, F.lit(0))
         elif s.kind == "max_before":
-            v = F.greatest(here, carry)
+            v = F.greatest(own, carry)
         else:
-            v = F.coalesce(here, carry)
+            v = F.coalesce(own, carry)
         cols.append(v.alias(s.out))
     return out.select(*[F.col(c) for c in df.columns], *cols)
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curbstream.functions import geometry as geo
 from curbstream.operators.ordered import Scan, ordered_scan, row_blocks, time_halo, with_chunk
@@ -61,11 +64,12 @@ def fit_scale(rows: DataFrame, videos: DataFrame) -> DataFrame:
     v = rows.filter(F.col("cls").isin(list(VEHICLES))).join(videos.select("video_id", "width", "height"), "video_id")
     uncut = (F.col("x1") > 2) & (F.col("y1") > 2) & (F.col("x2") < F.col("width") - 2) & (F.col("y2") < F.col("height") - 2)
     v = v.select("video_id", "foot_y", "size", uncut.alias("uncut"), (uncut & (F.col("cls") == 2)).alias("car"))
-    v = v.groupBy("video_id", "foot_y", "size", "uncut", "car").agg(F.count(F.lit(1)).alias("k"))
+    v = stage(v.groupBy("video_id", "foot_y", "size", "uncut", "car").agg(F.count(F.lit(1)).alias("k")), "scale_counts")
     mode = v.groupBy("video_id").agg(F.sum(F.when(F.col("car"), F.col("k"))).alias("n_car"), F.sum(F.when(F.col("uncut"), F.col("k"))).alias("n_unc"))
     v = v.join(mode, "video_id")
     enough = F.coalesce(F.col("n_car"), F.lit(0)) >= 30
-    v = v.filter(F.when(enough, F.col("car")).when(F.col("n_unc") > 0, F.col("uncut")).otherwise(F.lit(True))).select("video_id", "foot_y", "size", "k")
+    v = v.filter(F.when(enough, F.col("car")).when(F.col("n_unc") > 0, F.col("uncut")).otherwise(F.lit(True)))
+    v = stage(v.groupBy("video_id", "foot_y", "size").agg(F.sum("k").alias("k")), "scale_rows")
     return scale_line(v, videos)
 
 
@@ -222,59 +226,50 @@ def ground_rows(rows: DataFrame, gap_us: int, chunk_us: int = CHUNK_US) -> DataF
     return d.drop("home", "__h", *[f"__h{i}" for i in range(9)])
 
 
-def savgol(df: DataFrame, w, cols: dict[str, str], half: str, max_half: int, index: str, count: str) -> DataFrame:
-    """Quadratic Savitzky-Golay smoothing with a window of ``2 * half + 1`` rows that varies per track.
+def savgol(f: np.ndarray, i: np.ndarray, n: int, h: int) -> np.ndarray:
+    """Quadratic Savitzky-Golay values of consecutive rows ``i`` (0-based within ``n``), window ``2h + 1``.
 
-    The quadratic through a symmetric window follows from three weighted sums; rows near an end take
-    the polynomial of the first or last full window. ``half`` 0 leaves values as they are. ``index`` is
-    0-based within ``count`` rows; ``w`` orders the rows of a track.
+    The quadratic through a symmetric window follows from three weighted sums. Rows near an end of the
+    track take the polynomial of the first or last full window.
     """
-    h, i, n = F.col(half), F.col(index), F.col(count)
-    m2 = h * (h + 1) * (2 * h + 1) / 3
-    m4 = m2 * (3 * h * h + 3 * h - 1) / 5
-    den = (2 * h + 1) * m4 - m2 * m2
-    full = (h > 0) & (i >= h) & (i <= n - 1 - h)
-    lags = {}
-    for src in cols.values():
-        for k in range(1, max_half + 1):
-            lags[f"__{src}_m{k}"] = F.lag(src, k).over(w)
-            lags[f"__{src}_p{k}"] = F.lead(src, k).over(w)
-    d = df.withColumns(lags)
-    coef = []
-    for out, src in cols.items():
-        s0, s1, s2 = F.col(src), F.lit(0.0), F.lit(0.0)
-        for k in range(1, max_half + 1):
-            a, b = F.col(f"__{src}_m{k}"), F.col(f"__{src}_p{k}")
-            on = h >= k
-            s0 = s0 + F.when(on, a + b).otherwise(0.0)
-            s1 = s1 + F.when(on, (b - a) * k).otherwise(0.0)
-            s2 = s2 + F.when(on, (a + b) * (k * k)).otherwise(0.0)
-        coef.append(F.struct(((m4 * s0 - m2 * s2) / den).alias("a0"), (s1 / m2).alias("a1"), (((2 * h + 1) * s2 - m2 * s0) / den).alias("a2")).alias(out))
-    d = d.withColumn("__own", F.when(full, F.struct(*coef, i.alias("i")))).drop(*lags)
-    ahead = F.first("__own", ignorenulls=True).over(w.rowsBetween(0, max_half))
-    back = F.last("__own", ignorenulls=True).over(w.rowsBetween(-max_half, 0))
-    d = d.withColumns({"__ahead": ahead, "__back": back})
-    # Before the first full window use the one ahead, after the last one use the one behind.
-    d = d.withColumn("__win", F.when(i < h, F.col("__ahead")).otherwise(F.col("__back")))
-    x = i - F.col("__win.i")
-    outs = {out: F.when(h == 0, F.col(src)).otherwise(F.col(f"__win.{out}.a0") + x * (F.col(f"__win.{out}.a1") + x * F.col(f"__win.{out}.a2"))) for out, src in cols.items()}
-    return d.withColumns(outs).drop("__own", "__ahead", "__back", "__win")
-
-
-def gradient(df: DataFrame, w, t: str, cols: dict[str, str]) -> DataFrame:
-    """Second-order central differences on uneven times, one-sided at the ends."""
-    step = {"__tm": F.col(t) - F.lag(t).over(w), "__tp": F.lead(t).over(w) - F.col(t)}
-    for src in cols.values():
-        step[f"__{src}_m"] = F.lag(src).over(w)
-        step[f"__{src}_p"] = F.lead(src).over(w)
-    d = df.withColumns(step)
-    hs, hd = F.col("__tm"), F.col("__tp")
-    outs = {}
-    for out, src in cols.items():
-        f0, fm, fp = F.col(src), F.col(f"__{src}_m"), F.col(f"__{src}_p")
-        mid = (hs * hs * fp + (hd * hd - hs * hs) * f0 - hd * hd * fm) / (hs * hd * (hd + hs))
-        outs[out] = F.when(hs.isNull(), (fp - f0) / hd).when(hd.isNull(), (f0 - fm) / hs).otherwise(mid)
-    return d.withColumns(outs).drop(*step)
+    if h == 0:
+        return f
+    k = np.arange(-h, h + 1, dtype=float)
+    win = np.lib.stride_tricks.sliding_window_view(f, 2 * h + 1)
+    s0, s1, s2 = win.sum(1), win @ k, win @ (k * k)
+    m2, m4, w = (k**2).sum(), (k**4).sum(), 2 * h + 1
+    den = w * m4 - m2 * m2
+    centre = np.clip(i, h, n - 1 - h)
+    at = np.clip(centre - i[0] - h, 0, len(win) - 1)
+    x = i - (at + i[0] + h)
+    return (m4 * s0 - m2 * s2)[at] / den + x * (s1[at] / m2 + x * (w * s2 - m2 * s0)[at] / den)
+
+
+MOTION = ["sx", "sy", "vx", "vy", "speed", "heading", "accel"]
+
+
+def smooth_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Motion of one block of one track; halo rows are used and dropped."""
+    pdf = pdf.sort_values(["rn", "seq", "frame"], ascending=[True, False, True], kind="mergesort")
+    q = pdf[pdf["seq"]]
+    i, n, h = q["rn"].to_numpy() - 1, int(pdf["n_seq"].iloc[0]), int(pdf["half"].iloc[0])
+    t = q["t_us"].to_numpy() / 1e6
+    sx, sy = savgol(q["foot_x"].to_numpy(), i, n, h), savgol(q["fy"].to_numpy(), i, n, h)
+    ay = savgol(q["y1"].to_numpy(), i, n, h)
+    scale = np.maximum(q["sc_min"].to_numpy(), q["sc_a"].to_numpy() + q["sc_b"].to_numpy() * sy)
+    if len(q) > 1:
+        vx, vy = np.gradient(sx, t) / scale, np.gradient(ay, t) / scale
+        speed = np.sqrt(vx * vx + vy * vy)
+        accel = np.gradient(savgol(speed, i, n, h), t)
+    else:
+        vx = vy = speed = accel = np.zeros(len(q))
+    values = np.column_stack([sx, sy, vx, vy, speed, np.degrees(np.arctan2(vy, vx)), accel])
+    # Border rows carry the number of the whole row whose motion they take.
+    out = values[pdf["rn"].to_numpy() - 1 - i[0]]
+    cut = ~pdf["seq"].to_numpy()
+    out[cut, 0], out[cut, 1] = pdf["foot_x"].to_numpy()[cut], pdf["fy"].to_numpy()[cut]
+    res = pdf.assign(**{m: out[:, k] for k, m in enumerate(MOTION)})
+    return res[pdf["home"].to_numpy()]
 
 
 def smoothing_half(n: Column, dt: Column, window_sec: float, max_half: int) -> Column:
@@ -296,6 +291,7 @@ def add_kinematics(rows: DataFrame, cfg: Mapping = TRACKER, chunk_us: int = CHUN
     d = ground_rows(rows, gap, chunk_us)
     d = d.withColumn("__seq", ~F.col("edge") | (F.col("n_ok") < 2)).withColumn("__one", F.col("__seq").cast("int")).withColumn("__ts", F.when(F.col("__seq"), F.col("t_us")))
     d = ordered_scan(d, TRACK, "chunk", ["frame"], [Scan("sum", "__one", "__k"), Scan("count", "frame", "__all"), Scan("last_before", "__ts", "__pts")])
+    d = stage(d, "ground")
     d = d.withColumn("__sa", F.when(F.col("__seq"), F.col("__all")))
     steps = d.filter("__seq AND __pts IS NOT NULL").select(*TRACK, ((F.col("t_us") - F.col("__pts")) / 1e6).alias("dt"))
     dt = exact_quantiles(steps, TRACK, "dt", {"dt_med": 0.5}, 1.0).drop("n")
@@ -306,22 +302,12 @@ def add_kinematics(rows: DataFrame, cfg: Mapping = TRACKER, chunk_us: int = CHUN
     # The whole row whose motion a border row takes; an equal distance takes the next one.
     prev_nearer = F.col("__na").isNull() | (F.col("__all") - F.col("__pa") < F.col("__na") - F.col("__all"))
     d = d.withColumn("__rn", F.when(F.col("__seq"), F.col("__k")).when(F.coalesce(prev_nearer, F.lit(False)), F.col("__k")).otherwise(F.col("__k") + 1))
-    d = d.drop("__one", "__ts", "__k", "__all", "__pts", "__sa", "__pa", "__na", "dt_med")
-    d = row_blocks(d, "__rn", block_rows, 4 * mh + 4).filter("__seq OR home")
-    w = Window.partitionBy(*TRACK, "block", "__seq").orderBy("__rn", "frame")
-    d = d.withColumn("__i", F.col("__rn") - 1).withColumn("__t", F.col("t_us") / 1e6)
-    d = savgol(d, w, {"sx": "foot_x", "sy": "fy", "__ay": "y1"}, "__half", mh, "__i", "__n")
-    d = gradient(d, w, "__t", {"__gx": "sx", "__gy": "__ay"})
-    s = geo.row_scale("sy")
-    d = d.withColumns({"vx": F.col("__gx") / s, "vy": F.col("__gy") / s}).withColumn("speed", geo.hypot(F.col("vx"), F.col("vy")))
-    d = savgol(d, w, {"__sp": "speed"}, "__half", mh, "__i", "__n")
-    d = gradient(d, w, "__t", {"accel": "__sp"}).withColumn("heading", geo.heading("vx", "vy"))
-    motion = ["vx", "vy", "speed", "heading", "accel"]
-    own = F.when(F.col("__seq"), F.struct(*motion))
-    d = d.withColumn("__m", F.max(own).over(Window.partitionBy(*TRACK, "block", "__rn"))).filter("home")
-    d = d.withColumns({m: F.col(f"__m.{m}") for m in motion})
-    d = d.withColumns({"sx": F.when(F.col("__seq"), F.col("sx")).otherwise(F.col("foot_x")), "sy": F.when(F.col("__seq"), F.col("sy")).otherwise(F.col("fy"))})
-    return d.drop("block", "home", "fy", *[c for c in d.columns if c.startswith("__")])
+    d = d.withColumnsRenamed({"__rn": "rn", "__n": "n_seq", "__half": "half", "__seq": "seq"})
+    d = d.select(*[c for c in d.columns if not c.startswith("__") and c != "dt_med"])
+    d = row_blocks(d, "rn", block_rows, 4 * mh + 4).filter("seq OR home").drop("chunk")
+    schema = T.StructType([*d.schema.fields, *[T.StructField(m, T.DoubleType()) for m in MOTION]])
+    d = d.groupBy(*TRACK, "block").applyInPandas(smooth_block, schema)
+    return d.drop("block", "home", "rn", "n_seq", "half", "seq", "fy")
 
 
 TRACK_COLUMNS = [
@@ -349,3 +335,10 @@ def build_tracks(raw: DataFrame, frames: DataFrame, videos: DataFrame, cfg: Mapp
     values = values.join(riders.withColumn("rider", F.lit(True)), TRACK, "left").withColumn("rider", F.coalesce("rider", F.lit(False)))
     d = add_kinematics(attach(rows, TRACK, "chunk", values), cfg, chunk_us, block_rows)
     return stage(d.select(*TRACK_COLUMNS), "tracks")
+
+
+def dense_ids(raw: DataFrame) -> DataFrame:
+    """Dense per-video ids in order of first appearance. Numbered per first frame, then shifted, so no video is one task."""
+    first = raw.groupBy(*TRACK).agg(F.min("frame").alias("__f"))
+    d = ordered_scan(first, ["video_id"], "__f", ["track_id"], [Scan("count", "track_id", "new_id")])
+    return d.select(*TRACK, "new_id")
