@@ -64,8 +64,7 @@ def first_overlap(a: tuple, b: tuple, rvx: Column, rvy: Column, horizon: float =
     """Time to collision of box ``a`` moving at (rvx, rvy) px/s relative to box ``b``: the first multiple of
     ``step`` at which they overlap, 0 when they overlap now, null when they do not within ``horizon``.
 
-    The overlap of moving boxes is an open time interval, so the first step inside it is found directly
-    and no list of steps is built.
+    The overlap of moving boxes is an open time interval, so the first step inside it is computed, not searched.
     """
     ax1, ay1, ax2, ay2 = (c(v) for v in a)
     bx1, by1, bx2, by2 = (c(v) for v in b)
@@ -83,9 +82,14 @@ def first_overlap(a: tuple, b: tuple, rvx: Column, rvy: Column, horizon: float =
     ey, ly = axis(by1 - ay2, by2 - ay1, rvy)
     enter, leave = F.greatest(ex, ey), F.least(lx, ly)
     k = F.greatest(F.floor(F.least(F.greatest(enter, F.lit(-1.0)), F.lit(horizon + 1.0)) / F.lit(step)) + 1, F.lit(1))
-    tau = k * F.lit(step)
-    hit = (enter < leave) & (k <= n) & (tau > enter) & (tau < leave)
-    return F.when(overlaps(a, b), F.lit(0.0)).when(hit, tau)
+
+    def meets(j: Column) -> Column:
+        dx, dy = rvx * (j * F.lit(step)), rvy * (j * F.lit(step))
+        return j.between(1, n) & overlaps((ax1 + dx, ay1 + dy, ax2 + dx, ay2 + dy), (bx1, by1, bx2, by2))
+
+    # The division may be off by one step, and grazing boxes only meet if they do so in plain arithmetic.
+    hit = F.when(meets(k - 1), k - 1).when(meets(k), k).when(meets(k + 1), k + 1)
+    return F.when(overlaps(a, b), F.lit(0.0)).when(enter < leave, hit * F.lit(step))
 
 
 def project(x, y, p: str = "x", q: str = "y", h: str = "h") -> tuple[Column, Column]:

@@ -36,6 +36,7 @@ def nearest_in_time(
 
 
 def _both_sides(probes, facts, keys, t_us, values, ties, chunk_us, kinds, tolerance_us=None) -> DataFrame:
+    ties = [c for c in ties if c not in keys and c != t_us]
     fact = F.struct(F.col(t_us).alias("t"), *[F.col(v).alias(v) for v in values])
     f = facts.select(*keys, t_us, F.lit(0).alias("__side"), *[F.col(c) for c in ties], fact.alias("__fact"))
     p = probes.withColumn("__side", F.lit(1)).withColumn("__fact", F.lit(None).cast(f.schema["__fact"].dataType))
@@ -78,6 +79,7 @@ def state_at(probes: DataFrame, phases: DataFrame, keys: Sequence[str], t_us: st
     Where several start together, an empty one is no candidate.
     """
     p = phases.filter("t1_us > t0_us").select(*keys, F.col("t0_us").alias(t_us), F.col("t0_us").alias("__t0"), F.col("t1_us").alias("__t1"), F.col("state").alias("__st"))
+    ties = [c for c in ties if c not in keys and c != t_us]
     for c in ties:
         p = p.withColumn(c, F.lit(None).cast(probes.schema[c].dataType))
     d = asof_last(probes, p, keys, t_us, ["__t0", "__t1", "__st"], ties, chunk_us)

@@ -63,7 +63,7 @@ def q_majority(spark, folder):
 
 @query("majority_vote", "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY round(sum(value), 6) DESC, event_type) AS k FROM events GROUP BY 1, 2) WHERE k = 1")
 def q_vote(spark, folder):
-    e = table(spark, folder, "events").select("user_id", F.col("value").alias("conf"), F.locate("|", F.lit("|")).alias("one"), "event_type")
+    e = table(spark, folder, "events").select("user_id", F.col("value").alias("conf"), "event_type")
     rank = e.select("event_type").distinct().select("event_type", F.ascii("event_type").alias("a"), F.ascii(F.substring("event_type", 2, 1)).alias("b"))
     e = e.join(rank.select("event_type", (F.col("a") * 256 + F.col("b")).alias("cls")), "event_type")
     m = tracks.majority_class(e, ["user_id"])
@@ -106,9 +106,9 @@ def q_interp(spark, folder):
     return r(d, 5, "conf", "x1", "y1", "x2", "y2").select("video_id", "track_id", "frame", "t_us", "interp", "conf", "x1", "y1", "x2", "y2")
 
 
-@query("track_stats", f"WITH {q.VALUED} SELECT DISTINCT video_id, track_id, reliable, {rd(6, 'track_conf', 'track_size')} FROM rows1")
+@query("track_stats", f"WITH {q.VALUED} SELECT DISTINCT video_id, track_id, reliable, {rd(9, 'track_conf', 'track_size')} FROM rows1")
 def q_stats(spark, folder):
-    return r(track_table(spark, folder), 6, "track_conf", "track_size").select("video_id", "track_id", "reliable", "track_conf", "track_size").distinct()
+    return r(track_table(spark, folder), 9, "track_conf", "track_size").select("video_id", "track_id", "reliable", "track_conf", "track_size").distinct()
 
 
 @query("riders", f"WITH {q.VALUED} SELECT * FROM rid")
@@ -147,7 +147,7 @@ def q_hist(spark, folder):
     f"WITH {q.VALUED} SELECT video_id, CAST(least(floor(foot_x / 20e0), 63) AS INT) AS bx, CAST(least(floor(foot_y / 20e0), 35) AS INT) AS by, count(*) AS n, round(ln(1 + count(*)), 6) AS heat FROM rows1 WHERE foot_x BETWEEN 0 AND 1280 AND foot_y BETWEEN 0 AND 720 GROUP BY 1, 2, 3",
 )
 def q_heat(spark, folder):
-    return explore.heatmap(track_table(spark, folder), fx.videos(spark, folder))
+    return explore.heatmap(track_table(spark, folder).drop("width", "height"), fx.videos(spark, folder))
 
 
 @query(
