@@ -1,7 +1,7 @@
 """Scalar geometry as column expressions. Pixels, y down."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOOTPRINT = 0.35
@@ -60,36 +60,39 @@ def heading(vx, vy) -> Column:
     return F.degrees(F.atan2(c(vy), c(vx)))
 
 
-def first_overlap(a: tuple, b: tuple, rvx: Column, rvy: Column, horizon: float = 3.0, step: float = 0.1) -> Column:
-    """Time to collision of box ``a`` moving at (rvx, rvy) px/s relative to box ``b``: the first multiple of
+def with_first_overlap(df: DataFrame, out: str, a: tuple, b: tuple, rvx: Column, rvy: Column, horizon: float = 3.0, step: float = 0.1) -> DataFrame:
+    """Add the time to collision of box ``a`` moving at (rvx, rvy) px/s relative to box ``b``: the first multiple of
     ``step`` at which they overlap, 0 when they overlap now, null when they do not within ``horizon``.
 
     The overlap of moving boxes is an open time interval, so the first step inside it is computed, not searched.
+    The steps are separate columns, and the result passes through a generator, so that a filter on it does not
+    repeat the whole computation.
     """
-    ax1, ay1, ax2, ay2 = (c(v) for v in a)
-    bx1, by1, bx2, by2 = (c(v) for v in b)
-    n = int(round(horizon / step))
+    n, big = int(round(horizon / step)), F.lit(1e18)
+    box = [f"__{s}{i}" for s in "ab" for i in range(4)]
+    d = df.withColumns({**dict(zip(box, [c(v) for v in (*a, *b)])), "__vx": rvx, "__vy": rvy})
+    (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2) = [F.col(k) for k in box[:4]], [F.col(k) for k in box[4:]]
 
-    def axis(lo: Column, hi: Column, v: Column) -> tuple[Column, Column]:
-        # lo < v * tau < hi
-        big = F.lit(1e18)
+    def axis(name: str, lo: Column, hi: Column, v: Column) -> dict[str, Column]:
+        # The times with lo < v * t < hi.
         still = F.when((lo < 0) & (hi > 0), big).otherwise(-big)
         enter = F.when(v > 0, lo / v).when(v < 0, hi / v).otherwise(-still)
         leave = F.when(v > 0, hi / v).when(v < 0, lo / v).otherwise(still)
-        return enter, leave
+        return {f"__e{name}": enter, f"__l{name}": leave}
 
-    ex, lx = axis(bx1 - ax2, bx2 - ax1, rvx)
-    ey, ly = axis(by1 - ay2, by2 - ay1, rvy)
-    enter, leave = F.greatest(ex, ey), F.least(lx, ly)
-    k = F.greatest(F.floor(F.least(F.greatest(enter, F.lit(-1.0)), F.lit(horizon + 1.0)) / F.lit(step)) + 1, F.lit(1))
+    d = d.withColumns({**axis("x", bx1 - ax2, bx2 - ax1, F.col("__vx")), **axis("y", by1 - ay2, by2 - ay1, F.col("__vy"))})
+    d = d.withColumns({"__e": F.greatest("__ex", "__ey"), "__l": F.least("__lx", "__ly")})
+    d = d.withColumn("__k", F.greatest(F.floor(F.least(F.greatest("__e", F.lit(-1.0)), F.lit(horizon + 1.0)) / F.lit(step)) + 1, F.lit(1)))
 
     def meets(j: Column) -> Column:
-        dx, dy = rvx * (j * F.lit(step)), rvy * (j * F.lit(step))
+        dx, dy = F.col("__vx") * (j * F.lit(step)), F.col("__vy") * (j * F.lit(step))
         return j.between(1, n) & overlaps((ax1 + dx, ay1 + dy, ax2 + dx, ay2 + dy), (bx1, by1, bx2, by2))
 
     # The division may be off by one step, and grazing boxes only meet if they do so in plain arithmetic.
+    k = F.col("__k")
     hit = F.when(meets(k - 1), k - 1).when(meets(k), k).when(meets(k + 1), k + 1)
-    return F.when(overlaps(a, b), F.lit(0.0)).when(enter < leave, hit * F.lit(step))
+    ttc = F.when(overlaps((ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2)), F.lit(0.0)).when(F.col("__e") < F.col("__l"), hit * F.lit(step))
+    return d.select(*df.columns, F.explode(F.array(ttc)).alias(out))
 
 
 def project(x, y, p: str = "x", q: str = "y", h: str = "h") -> tuple[Column, Column]:

@@ -177,7 +177,7 @@ def q_pairs(spark, folder):
     SELECT video_id, frame, a_id, b_id, round(ttc, 4) AS ttc FROM tt WHERE ttc IS NOT NULL""",
 )
 def q_ttc(spark, folder):
-    d = _pairs(spark, folder, 2.0).withColumn("ttc", pairs.pair_ttc()).filter("ttc IS NOT NULL")
+    d = pairs.with_pair_ttc(_pairs(spark, folder, 2.0)).filter("ttc IS NOT NULL")
     return d.select("video_id", "frame", F.col("a_track_id").alias("a_id"), F.col("b_track_id").alias("b_id"), F.round("ttc", 4).alias("ttc"))
 
 
