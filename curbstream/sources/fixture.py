@@ -59,7 +59,7 @@ def scene_document() -> dict:
         "crosswalks": [{"polygon": [[590, 240], [690, 240], [690, 610], [590, 610]]}],
         "stop_lines": [{"id": "S1", "points": [[600, 250], [600, 600]], "signal": "main", "approach": [1, 0]}],
         "solid_lines": [[[0, 400], [1280, 400]]],
-        "lanes": [{"id": "L1", "polygon": [[0, 420], [1280, 420], [1280, 520], [0, 520]], "direction": [1, 0]}],
+        "lanes": [{"id": "L1", "polygon": [[0, 340], [1280, 340], [1280, 520], [0, 520]], "direction": [1, 0]}],
         "exit_zones": [{"id": "W", "polygon": [[0, 300], [250, 300], [250, 600], [0, 600]]}, {"id": "E", "polygon": [[900, 300], [1280, 300], [1280, 600], [900, 600]]}],
         "allowed_movements": [["W", "E"]],
         "no_u_turn_zones": [[[300, 250], [900, 250], [900, 600], [300, 600]]],
