@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curbstream.operators import scene as sc
 from curbstream.plans import conflicts, detect, risk, rules, tuning
-from curbstream.plans.params import EVENTS, RISK, RISK_WEIGHTS
+from curbstream.plans.params import CLASSES, EVENTS, RISK, RISK_WEIGHTS
 from curbstream.queries import track_sql as q
 from curbstream.queries.metric_queries import BUCKET, CURVE, timeline
 from curbstream.queries.registry import query
@@ -42,10 +42,18 @@ def shown(df: DataFrame) -> DataFrame:
 VEHICLES = f"cls IN {q.VEH}"
 
 
+def rule_segments(spark: SparkSession, folder: str, label: str) -> DataFrame:
+    """The segments of one rule, staged once per session."""
+    key = (spark.sparkContext.applicationId, folder, label)
+    if key not in _SEGMENTS:
+        _SEGMENTS[key] = stage(rules.RULES[label](inputs(spark, folder), EVENTS[label]), f"segments_{label}")
+    return _SEGMENTS[key]
+
+
 def _rule(label: str, sql: str | None = None) -> None:
     @query(f"rule_{label}", sql)
     def run(spark, folder):
-        return shown(rules.RULES[label](inputs(spark, folder), EVENTS[label]))
+        return shown(rule_segments(spark, folder, label))
 
 
 WRONG = f"""WITH {q.TRACKS}, v AS (SELECT *, CASE WHEN sx >= 0 AND sx < 1280 AND sy >= 340 AND sy < 520 THEN 1e0 ELSE 0e0 END AS st FROM tracks WHERE reliable AND {VEHICLES}),
@@ -130,13 +138,12 @@ def q_turns(spark, folder):
 
 
 def segments_of(spark, folder) -> DataFrame:
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _SEGMENTS:
-        s, errors = detect.detect(inputs(spark, folder))
-        if errors:
-            raise RuntimeError(str(errors))
-        _SEGMENTS[key] = s
-    return _SEGMENTS[key]
+    u = None
+    for label in CLASSES:
+        if EVENTS[label]["enabled"]:
+            d = rule_segments(spark, folder, label)
+            u = d if u is None else u.unionByName(d)
+    return u
 
 
 @query("final_events")
