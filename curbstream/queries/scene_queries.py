@@ -155,15 +155,15 @@ PAIRS = f"""{q.TRACKS}, us AS MATERIALIZED (SELECT video_id, track_id, frame, t_
   pc2 AS (SELECT *, -(rvx * dx + rvy * dy) / greatest(dist, 1e-6) / ((sca + scb) / 2) AS closing FROM pr)"""
 
 
-def _pairs(spark, folder, max_bl):
+def _pairs(spark, folder, max_bl, rounded=False):
     t = track_table(spark, folder).filter("reliable AND NOT edge AND cls IN (0, 1, 2, 3, 5, 7)").withColumn("sc", geo.row_scale("sy"))
     # Rounded so that rounding noise in the velocity of parallel tracks cannot decide whether boxes graze each other.
-    t = r(t, 6, "vx", "vy")
+    t = r(t, 6, "vx", "vy") if rounded else t
     top = F.lit(max_bl) * geo.row_scale(F.lit(2.0) * F.col("height"))
     return pairs.candidate_pairs(t, F.lit(max_bl) * F.col("sc"), top, ["t_us", "vx", "vy", "sc", "x1", "y1", "x2", "y2"])
 
 
-@query("pair_candidates", f"WITH {PAIRS} SELECT video_id, frame, a_id, b_id, round(dist, 4) AS dist, round(closing, 3) + 0e0 AS closing FROM pc2")
+@query("pair_candidates", f"WITH {PAIRS.replace('round(vx, 6) AS vx, round(vy, 6) AS vy', 'vx, vy')} SELECT video_id, frame, a_id, b_id, round(dist, 4) AS dist, round(closing, 3) + 0e0 AS closing FROM pc2")
 def q_pairs(spark, folder):
     d = _pairs(spark, folder, 2.0).withColumn("closing", pairs.closing_speed())
     d = d.select("video_id", "frame", F.col("a_track_id").alias("a_id"), F.col("b_track_id").alias("b_id"), F.round("dist", 4).alias("dist"), "closing")
@@ -177,7 +177,7 @@ def q_pairs(spark, folder):
     SELECT video_id, frame, a_id, b_id, round(ttc, 4) AS ttc FROM tt WHERE ttc IS NOT NULL""",
 )
 def q_ttc(spark, folder):
-    d = pairs.with_pair_ttc(_pairs(spark, folder, 2.0)).filter("ttc IS NOT NULL")
+    d = pairs.with_pair_ttc(_pairs(spark, folder, 2.0, rounded=True)).filter("ttc IS NOT NULL")
     return d.select("video_id", "frame", F.col("a_track_id").alias("a_id"), F.col("b_track_id").alias("b_id"), F.round("ttc", 4).alias("ttc"))
 
 
