@@ -49,13 +49,12 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def byte_values(seed: int, lower: bool) -> np.ndarray:
-    """A random 64-bit value per byte; white space is 0, and A-Z count as a-z if ``lower``."""
+def byte_values(seed: int, lower: bool, space: np.ndarray) -> np.ndarray:
+    """A random 64-bit value per byte; bytes between words are 0, and A-Z count as a-z if ``lower``."""
     v = mix(np.arange(1, 257, dtype=np.uint64) * _STEP + np.uint64(seed))
     if lower:
         v[65:91] = v[97:123]
-    v[9:14] = 0
-    v[32] = 0
+    v[space] = 0
     return v
 
 
@@ -71,6 +70,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # index of each document's first word; one entry more than documents
+    space: np.ndarray  # which bytes stand between words
 
     @property
     def counts(self) -> np.ndarray:
@@ -80,7 +80,7 @@ class Words:
         if not len(self.start):
             return np.zeros(0, np.uint64)
         p, inv = _powers(_BASE, len(self.data))
-        v = byte_values(seed, lower)[self.data]
+        v = byte_values(seed, lower, self.space)[self.data]
         v *= p
         return mix(np.add.reduceat(v, self.start) * inv[self.start] + (self.end - self.start).astype(np.uint64))
 
@@ -134,13 +134,27 @@ def split(off: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> Words
     cut[rel] = True
     start = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | cut[:-1])) if len(b) else np.zeros(0, np.int64)
     end = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | cut[1:])) + 1 if len(b) else np.zeros(0, np.int64)
-    return Words(b, start, end, np.searchsorted(start, rel, "left"))
+    return Words(b, start, end, np.searchsorted(start, rel, "left"), space)
 
 
-def word_slices(col: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, Words]]:
+def word_slices(col: pa.Array, limit: int = SLICE, space: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     off, data = texts(col)
     for lo, hi in slices(off, limit):
-        yield lo, hi, split(off[lo : hi + 1], data)
+        yield lo, hi, split(off[lo : hi + 1], data, space)
+
+
+def shingles(w: Words, k: int, lower: bool = True, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``k``-word shingles and the document of each; shorter documents are one shingle, empty ones none."""
+    h = w.hashes(seed, lower)
+    g, at = w.windows(h, k)
+    docs, n = w.docs(at), w.counts
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        few = np.array([int(mix(np.bitwise_xor.reduce(mix(h[w.first[d] : w.first[d + 1]] + np.arange(1, n[d] + 1, dtype=np.uint64) * _STEP), keepdims=True) + np.uint64(n[d]))[0]) for d in short], np.uint64)
+        g, docs = np.concatenate([g, few]), np.concatenate([docs, short])
+        order = np.argsort(docs, kind="stable")
+        g, docs = g[order], docs[order]
+    return g, docs
 
 
 class Bloom:
