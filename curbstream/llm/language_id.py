@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curbstream.llm.common import record
 from curbstream.llm.words import slices, texts
@@ -206,22 +207,29 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return train(x, mask.astype(np.float32), label, labels)
 
 
-def predict(docs: DataFrame, net: Net | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score."""
-    words = F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), words.alias("text"), words.rlike(r"\p{L}").alias("letters"))
+def annotate(docs: DataFrame, net: Net | None, text: str = "text", pred: str = "_lang_pred", score: str = "_lang_score") -> DataFrame:
+    """The input rows, all columns as they were, with ``pred`` and ``score`` added."""
     if net is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
+    schema = StructType(docs.schema.fields).add(pred, "string").add(score, "double")
+    words = F.coalesce(docs[text].cast("string"), F.lit(""))
+    own = len(docs.columns)
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], words.alias("text"), words.rlike(r"\p{L}").alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.labels, UNKNOWN], dtype=object)
         for b in batches:
-            off, data = texts(b.column("text"))
-            got = pooled(net, off, data)
+            got = pooled(net, *texts(b.column(own)))
             p = np.exp(got[:, :-1] / np.maximum(got[:, -1:], 1))
             p /= p.sum(axis=1, keepdims=True)
-            ok = b.column("letters").to_numpy(zero_copy_only=False)
+            ok = b.column(own + 1).to_numpy(zero_copy_only=False)
             best = np.where(ok, p.argmax(axis=1), len(net.labels))
-            yield record(["doc_id", "lang_pred", "score"], b.column("doc_id"), pa.array(names[best], pa.string()), pa.array(np.where(ok, p.max(axis=1), 0.0).astype(np.float64)))
+            yield record(schema.names, *b.columns[:own], pa.array(names[best], pa.string()), pa.array(np.where(ok, p.max(axis=1), 0.0).astype(np.float64)))
 
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, net: Net | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, lang_pred, score."""
+    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    return annotate(rows, net, "text", "lang_pred", "score").select("doc_id", "lang_pred", "score")

@@ -46,7 +46,7 @@ def _level(h: str, level: int):
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies (how often the mix takes it), taken (words)."""
-    narrow = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[source].cast("string").alias("source"), size_in_words(docs[text].cast("string")).alias("size"), F.conv(F.substring(F.md5(F.concat_ws(":", docs[doc_id].cast("string"), docs[text].cast("string"))), 1, 15), 16, 10).cast("bigint").alias("h"))
+    narrow = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[source].cast("string").alias("source"), size_in_words(docs[text].cast("string")).alias("size"), _hash(docs, doc_id, text).alias("h"))
     narrow = stage(narrow, "mix-sizes")
     goal = targets(narrow.groupBy("source").agg(F.sum("size").alias("size")), weights, most)
     goal = goal.withColumns({"source_size": F.col("size"), "whole": F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)}).drop("size")
@@ -71,6 +71,18 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     return out.select("doc_id", "d.source", "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies"), (F.col("size") * F.col("copies")).cast("bigint").alias("taken"), "h")
 
 
+def _hash(docs: DataFrame, doc_id: str, text: str):
+    return F.conv(F.substring(F.md5(F.concat_ws(":", docs[doc_id].cast("string"), docs[text].cast("string"))), 1, 15), 16, 10).cast("bigint")
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The input rows, each as often as the mix takes it. The narrow plan meets the whole rows by id, source and hash."""
+    plan = mix_sources(docs, doc_id, text, source, weights, most).where("copies > 0").select("h", "doc_id", "source", F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias("each")).dropDuplicates(["doc_id", "source", "h"]).alias("p")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), docs[doc_id].cast("bigint").alias("doc_id"), docs[source].cast("string").alias("source"), _hash(docs, doc_id, text).alias("h")).alias("o")
+    met = own.join(plan, F.expr("o.h = p.h and o.doc_id <=> p.doc_id and o.source <=> p.source"))
+    return met.select("o.whole", F.explode("p.each")).select("whole.*")
+
+
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, length(w) AS size, ('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)), 1, 15))::BIGINT AS h
