@@ -211,7 +211,7 @@ def annotate(docs: DataFrame, net: Net | None, text: str = "text", pred: str = "
     """The input rows, all columns as they were, with ``pred`` and ``score`` added."""
     if net is None:
         return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
-    schema = StructType(docs.schema.fields).add(pred, "string").add(score, "double")
+    schema = StructType(list(docs.schema.fields)).add(pred, "string").add(score, "double")
     words = F.coalesce(docs[text].cast("string"), F.lit(""))
     own = len(docs.columns)
     rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], words.alias("text"), words.rlike(r"\p{L}").alias("letters"))
