@@ -272,14 +272,16 @@ def smooth_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return res[pdf["home"].to_numpy()]
 
 
-def smoothing_half(n: Column, dt: Column, window_sec: float, max_half: int) -> Column:
-    """Half width of the odd smoothing window: about ``window_sec`` long, 5 rows at least, within the track; 0 = none."""
+def window_rows(dt: Column, window_sec: float) -> Column:
+    """Odd number of rows of the smoothing window: about ``window_sec`` long, 5 rows at least."""
     want = F.greatest(F.bround(F.lit(window_sec) / dt).cast("int"), F.lit(4))
-    want = F.when(want % 2 == 0, want + 1).otherwise(want)
-    odd = F.when(n % 2 == 1, n).otherwise(n - 1)
-    win = F.least(want, odd)
-    half = F.when(win >= 5, (win - 1) / 2).otherwise(F.lit(0)).cast("int")
-    return F.when(half <= max_half, half).otherwise(F.raise_error(F.lit("sampling rate too high: raise savgol_half")).cast("int"))
+    return F.when(want % 2 == 0, want + 1).otherwise(want)
+
+
+def smoothing_half(n: Column, dt: Column, window_sec: float) -> Column:
+    """Half width of the smoothing window within a track of ``n`` rows; 0 = none."""
+    win = F.least(window_rows(dt, window_sec), F.when(n % 2 == 1, n).otherwise(n - 1))
+    return F.when(win >= 5, (win - 1) / 2).otherwise(F.lit(0)).cast("int")
 
 
 def add_kinematics(rows: DataFrame, cfg: Mapping = TRACKER, chunk_us: int = CHUNK_US, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -287,18 +289,20 @@ def add_kinematics(rows: DataFrame, cfg: Mapping = TRACKER, chunk_us: int = CHUN
 
     Rows cut by the border take the motion of the nearest whole row of their track.
     """
-    gap, mh = sec(cfg["max_interp_gap_sec"]), int(cfg["savgol_half"])
+    gap = sec(cfg["max_interp_gap_sec"])
     d = ground_rows(rows, gap, chunk_us)
     d = d.withColumn("__seq", ~F.col("edge") | (F.col("n_ok") < 2)).withColumn("__one", F.col("__seq").cast("int")).withColumn("__ts", F.when(F.col("__seq"), F.col("t_us")))
     d = ordered_scan(d, TRACK, "chunk", ["frame"], [Scan("sum", "__one", "__k"), Scan("count", "frame", "__all"), Scan("last_before", "__ts", "__pts")])
     d = stage(d, "ground")
     d = d.withColumn("__sa", F.when(F.col("__seq"), F.col("__all")))
     steps = d.filter("__seq AND __pts IS NOT NULL").select(*TRACK, ((F.col("t_us") - F.col("__pts")) / 1e6).alias("dt"))
-    dt = exact_quantiles(steps, TRACK, "dt", {"dt_med": 0.5}, 1.0).drop("n")
+    dt = stage(exact_quantiles(steps, TRACK, "dt", {"dt_med": 0.5}, 1.0).drop("n"), "sampling")
+    # The widest window of any track sets how far blocks overlap; the sampling rate itself has no limit.
+    mh = (dt.agg(F.max(window_rows(F.col("dt_med"), cfg["savgol_window_sec"]))).first()[0] or 5) // 2
     d = ordered_scan(d, TRACK, "chunk", ["frame"], [Scan("last_before", "__sa", "__pa"), Scan("next_after", "__sa", "__na")])
     d = attach(d, TRACK, "chunk", dt, "left")
     n = F.when(F.col("n_ok") < 2, F.col("n_rows")).otherwise(F.col("n_ok"))
-    d = d.withColumn("__n", n).withColumn("__half", smoothing_half(F.col("__n"), F.coalesce("dt_med", F.lit(1.0)), cfg["savgol_window_sec"], mh))
+    d = d.withColumn("__n", n).withColumn("__half", smoothing_half(F.col("__n"), F.coalesce("dt_med", F.lit(1.0)), cfg["savgol_window_sec"]))
     # The whole row whose motion a border row takes; an equal distance takes the next one.
     prev_nearer = F.col("__na").isNull() | (F.col("__all") - F.col("__pa") < F.col("__na") - F.col("__all"))
     d = d.withColumn("__rn", F.when(F.col("__seq"), F.col("__k")).when(F.coalesce(prev_nearer, F.lit(False)), F.col("__k")).otherwise(F.col("__k") + 1))

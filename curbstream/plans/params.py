@@ -75,9 +75,10 @@ EVENTS: dict[str, dict] = {
     "fire_smoke": dict(enabled=False, min_confidence=0.5, merge_gap=3.0, min_len=3.0, min_area_frac=0.002, flicker_thr=12.0, min_sec=3.0),
 }
 
+# The values below are fixed: results depend on them.
 TRACKER = dict(
     max_jump_speed_bl=20.0, max_size_ratio=1.8, min_track_sec=1.0, max_interp_gap_sec=1.0, reliable_min_conf=0.4, reliable_min_size_frac=0.025,
-    min_det_conf=0.1, savgol_window_sec=1.0, savgol_half=6,
+    min_det_conf=0.1, savgol_window_sec=1.0,
 )
 SCENE = dict(
     grid_cols=64, road_min_tracks=2, road_min_frac=0.0, road_close=2, road_dilate=1, flow_min_tracks=3, flow_blur=1, moving_speed=0.5,

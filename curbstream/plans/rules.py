@@ -6,13 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbstream.functions import geometry as geo
 from curbstream.operators import scene as sc
-from curbstream.operators.intervals import merge_intervals, merge_islands, overlap_join
+from curbstream.operators.greedy import match_one_to_one
+from curbstream.operators.intervals import merge_intervals, overlap_join
 from curbstream.operators.lookup import next_change, state_at
 from curbstream.operators.ordered import Scan, ordered_scan, runs, time_halo, with_chunk
 from curbstream.operators.quantiles import exact_quantiles
@@ -147,9 +147,9 @@ def congestion(x: Tables, p: Mapping) -> DataFrame:
     r = r.select("video_id", "start_us", (F.col("end_us") + bin_us).cast("bigint").alias("end_us")).join(x.scene.select("video_id", "vehicle_signal"), "video_id", "left")
     r = stage(r, "congestion_runs")
     ph = x.phases.select("video_id", "signal_id", "t0_us", "t1_us", "state")
-    state = r.join(ph, "video_id", "left").groupBy("video_id", "start_us").agg(
-        F.coalesce(F.bool_or((F.col("vehicle_signal").isNull() | (F.col("signal_id") == F.col("vehicle_signal"))) & (F.col("state") != "unknown")), F.lit(False)).alias("known")
-    )
+    heads = ph.filter("state <> 'unknown'").groupBy("video_id").agg(F.collect_set("signal_id").alias("heads"))  # a few per video
+    known = F.when(F.col("vehicle_signal").isNull(), F.size("heads") > 0).otherwise(F.array_contains("heads", F.col("vehicle_signal")))
+    state = r.join(heads, "video_id", "left").select("video_id", "start_us", F.coalesce(known, F.lit(False)).alias("known"))
     green = overlap_join(r, ph.filter("state = 'green'").drop("state"), ["video_id"], ("start_us", "end_us"), ("t0_us", "t1_us"), BUCKET)
     green = green.filter("vehicle_signal IS NULL OR signal_id = vehicle_signal").groupBy("video_id", "start_us").agg(F.sum(F.least("end_us", "t1_us") - F.greatest("start_us", "t0_us")).alias("green"))
     d = r.join(state, ["video_id", "start_us"]).join(green, ["video_id", "start_us"], "left")
@@ -239,29 +239,45 @@ def stationary_episodes(d: DataFrame, p: Mapping) -> DataFrame:
     return h.withColumn("seg", F.col("__n") - F.col("ends")).drop("__n", "chunk")
 
 
-LINKED = "video_id bigint, start_us bigint, end_us bigint, lost boolean, x double, y double, moved boolean, hx double, hy double, tracks array<bigint>, sc_a double, sc_b double, sc_min double, width int, height int"
+STOP = ["lost", "x", "y", "moved", "hx", "hy", "sc_a", "sc_b", "sc_min", "width", "height"]
 
 
-def _link(gap_us: int, iou_min: float):
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Join episodes of different ids at the same place, in start order; the first open one that fits takes it."""
-        open_, boxes = [], []
-        for e in pdf.sort_values(["start_us", "track_id"]).to_dict("records"):
-            for m, b in zip(open_, boxes):
-                ix = min(b[2], e["bx2"]) - max(b[0], e["bx1"])
-                iy = min(b[3], e["by2"]) - max(b[1], e["by1"])
-                inter = max(ix, 0.0) * max(iy, 0.0)
-                union = (b[2] - b[0]) * (b[3] - b[1]) + (e["bx2"] - e["bx1"]) * (e["by2"] - e["by1"]) - inter
-                if m["lost"] and 0 <= e["start_us"] - m["end_us"] <= gap_us and union > 0 and inter / union > iou_min:
-                    m.update(end_us=max(m["end_us"], e["end_us"]), lost=e["lost"], tracks=m["tracks"] + [e["track_id"]])
-                    break
-            else:
-                open_.append({**e, "tracks": [e["track_id"]]})
-                boxes.append((e["bx1"], e["by1"], e["bx2"], e["by2"]))
-        names = [f.split()[0] for f in LINKED.split(", ")]
-        return pd.DataFrame(open_)[names]
+def link_stops(e: DataFrame, gap_us: int, iou_min: float) -> DataFrame:
+    """Stops at one place under changing ids become one: the values of the first, the last end, all tracks in order.
 
-    return link
+    Edges lead from a lost stop to a stop that starts within the gap in an overlapping box. In start order each stop takes
+    its earliest free forerunner; chains are followed by pointer doubling and cut where a box leaves that of the chain's
+    head. Nothing but edges and one narrow row per stop is kept, however long a camera's stops hang together. Where two lost
+    stops in one place compete for a follower, the one that began first has it.
+    """
+    e = stage(e.withColumn("node", F.struct("start_us", "track_id")), "stops")
+    later = e.select("video_id", "node", "start_us", *[f"b{c}" for c in BOX])
+    lost = e.filter("lost").select("video_id", F.col("node").alias("prev"), F.col("end_us").alias("p0"), (F.col("end_us") + gap_us).alias("p1"), *[F.col(f"b{c}").alias(f"p{c}") for c in BOX])
+    own, other = tuple(f"b{c}" for c in BOX), tuple(f"p{c}" for c in BOX)
+    edges = overlap_join(later, lost, ["video_id"], ("start_us", "start_us"), ("p0", "p1"), BUCKET).filter((F.col("prev") < F.col("node")) & (geo.box_iou(own, other) > iou_min))
+    taken = match_one_to_one(edges.select("video_id", F.struct("node", "prev").alias("rank"), "node", "prev"), ["video_id"], "node", "prev", ["rank"])
+    up = stage(e.select("video_id", "node").join(taken.select("video_id", "node", "prev"), ["video_id", "node"], "left").select("video_id", "node", F.coalesce("prev", "node").alias("head")), "stop_chain")
+    while True:
+        over = up.select("video_id", F.col("node").alias("head"), F.col("head").alias("top"))
+        far = stage(up.join(over, ["video_id", "head"]), "stop_chain")
+        done = far.filter("top <> head").isEmpty()
+        up = far.select("video_id", "node", F.col("top").alias("head"))
+        if done:
+            break
+    boxes = e.select("video_id", "node", F.struct(*own).alias("box"))
+    heads = boxes.select("video_id", F.col("node").alias("head"), F.col("box").alias("hbox"))
+    while True:
+        c = up.join(boxes, ["video_id", "node"]).join(heads, ["video_id", "head"])
+        off = (F.col("node") != F.col("head")) & (geo.box_iou(tuple(f"box.{x}" for x in own), tuple(f"hbox.{x}" for x in own)) <= iou_min)
+        cut = stage(c.filter(off).groupBy("video_id", "head").agg(F.min("node").alias("cut")), "stop_cuts")
+        if cut.isEmpty():
+            break
+        up = up.join(cut, ["video_id", "head"], "left").select("video_id", "node", F.when(F.col("node") >= F.col("cut"), F.col("cut")).otherwise(F.col("head")).alias("head"))
+        up = stage(up, "stop_chain")
+    e = e.join(up, ["video_id", "node"])
+    first, last = F.struct(*[c for c in STOP if c != "lost"]), F.col("lost")
+    g = e.groupBy("video_id", "head").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max_by(last, "node").alias("lost"), F.min_by(first, "node").alias("f"), F.transform(F.sort_array(F.collect_list("node")), lambda n: n["track_id"]).alias("tracks"))
+    return g.select("video_id", "start_us", "end_us", "lost", "f.*", "tracks")
 
 
 @rule("stopped_vehicle")
@@ -294,10 +310,7 @@ def stopped_vehicle(x: Tables, p: Mapping, link: bool = True) -> DataFrame:
     e = e.withColumns({"hx": F.when(F.col("moved"), mx / norm), "hy": F.when(F.col("moved"), my / norm)})
     e = stage(e.drop("a", "mv", "w0", "w1", "x0", "y0", "seg"), "stop_candidates")
     if link:
-        # Only episodes chained by the link gap can join, so each such chain is linked on its own.
-        e = e.withColumn("reach", F.col("end_us") + sec(p["link_gap_sec"]))
-        e = merge_islands(e, ["video_id"], "start_us", "reach", 0, chunk_us=CHUNK, ties=["track_id"]).drop("reach")
-        e = e.groupBy("video_id", "island").applyInPandas(_link(sec(p["link_gap_sec"]), p["link_iou"]), LINKED)
+        e = link_stops(e, sec(p["link_gap_sec"]), p["link_iou"])
     else:
         e = e.withColumn("tracks", F.array("track_id"))
     e = e.filter(F.col("end_us") - F.col("start_us") >= sec(p["min_stationary_sec"]))

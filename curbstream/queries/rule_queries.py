@@ -161,7 +161,7 @@ def q_documents(spark, folder):
     from curbstream.sources.documents import prediction_rows
 
     rk = risk_of(spark, folder).select("video_id", F.round(F.col("t_us") / 1e6, 2).alias("t"), F.round("score", 4).alias("score"))
-    return prediction_rows(q_final(spark, folder), rk)
+    return prediction_rows(q_final(spark, folder), rk, inputs(spark, folder).videos)
 
 
 def raw_quantities(spark, folder) -> DataFrame:
@@ -223,7 +223,7 @@ def q_fit(spark, folder):
 @query("bias_sweep")
 def q_sweep(spark, folder):
     _, gt = timeline(spark, folder)
-    s = tuning.bias_sweep(feature_rows(spark, folder), gt, RISK_WEIGHTS, "user_id", "t_us", "frame", 13, bucket_us=BUCKET)
+    s = tuning.bias_sweep(feature_rows(spark, folder), gt, RISK_WEIGHTS, "user_id", "t_us", "frame", bucket_us=BUCKET)
     return s.select("step", F.round("bias", 4).alias("bias"), "n_alarms", "n_matched", F.round("f1", 6).alias("f1"))
 
 

@@ -27,9 +27,12 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "16g")
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only for a local master where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -93,13 +93,39 @@ def label_curve(labels: DataFrame) -> DataFrame:
     return c.select("video", "pos", F.round(F.get("v", F.lit(0)) * 1e6).cast("bigint").alias("t_us"), F.get("v", F.lit(1)).alias("score"))
 
 
-def prediction_rows(events: DataFrame, risk: DataFrame) -> DataFrame:
-    """One JSON object per video, for export. The list of one video is as long as its clip."""
-    e = events.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("events"))
-    c = risk.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("t", "score"))).alias("risk"))
+def _json_list(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
+def prediction_rows(events: DataFrame, risk: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """The JSON value of each video for export: ``events`` as [start, end, label], ``risk`` as [t, score], numbers as numbers.
+
+    Both lists are as long as the clip. ``videos`` adds clips without events and their ``duration`` and ``fps``.
+    """
+    row = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    num = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
+    number = lambda c: F.regexp_extract(num(c), r":(.*)\}$", 1)
+    label = F.regexp_extract(F.to_json(F.struct(F.col("label").alias("v"))), r":(.*)\}$", 1)
+    e = events.select("video_id", "start", "end", "label", row(number("start"), number("end"), label).alias("item"))
+    e = e.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "end", "label", "item"))), lambda x: x["item"]).alias("events"))
+    c = risk.select("video_id", "t", row(number("t"), number("score")).alias("item"))
+    c = c.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "item"))), lambda x: x["item"]).alias("risk"))
     d = e.join(c, "video_id", "full")
-    ev = F.transform(F.coalesce("events", F.array()), lambda x: F.array(x["start"].cast("string"), x["end"].cast("string"), x["label"]))
-    return d.select("video_id", F.to_json(F.struct(ev.alias("events"), F.transform("risk", lambda x: F.array(x["t"], x["score"])).alias("risk"))).alias("json"))
+    none = F.array().cast("array<string>")
+    parts = [F.concat(F.lit('"events":'), _json_list(F.coalesce("events", none))), F.concat(F.lit('"risk":'), _json_list(F.coalesce("risk", none)))]
+    if videos is not None:
+        d = videos.select("video_id", "duration", "fps").join(d, "video_id", "left")
+        parts = [F.concat(F.lit('"duration":'), number("duration")), F.concat(F.lit('"fps":'), number("fps")), *parts]
+    return d.select("video_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+
+
+def write_predictions(rows: DataFrame, path: str, team: str, names: DataFrame | None = None) -> None:
+    """JSON lines, one document per video: ``team`` and ``videos`` with the one clip; readers take a folder of them."""
+    d = rows if names is None else rows.join(names, "video_id")
+    name = F.col("video") if names is not None else F.col("video_id").cast("string")
+    key = F.regexp_extract(F.to_json(F.struct(name.alias("v"))), r":(.*)\}$", 1)
+    lead = F.regexp_extract(F.to_json(F.struct(F.lit(team).alias("v"))), r":(.*)\}$", 1)
+    d.select(F.concat(F.lit('{"team":'), lead, F.lit(',"videos":{'), key, F.lit(":"), F.col("json"), F.lit("}}")).alias("value")).write.text(path)
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:

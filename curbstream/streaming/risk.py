@@ -1,11 +1,11 @@
-"""Risk scores and alarms on streams. The state of a video is a few bounded lists.
+"""Risk scores and alarms on streams. The state of a video is the bounded past that its next frames need.
 
-The batch twin is ``curbstream.plans.risk.features`` followed by ``combine``; both give the same scores.
+The batch twin is ``curbstream.plans.risk.features`` followed by ``combine``; both give the same scores. A batch of frames is
+worked as columns: the kept past and the new frames make one table, and rolling windows over it give every quantity.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from math import exp
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,10 @@ from curbstream.plans.params import FEATURES, RISK, RISK_WEIGHTS
 
 RAW_SCHEMA = "video_id bigint, frame bigint, t_us bigint, ttc double, ped_ttc double, decel double, swerve double, wrong double, redrun double, n_veh double, ped double"
 SCORE_SCHEMA = "video_id bigint, frame bigint, t_us bigint, score double"
-STATE = "decel array<double>, swerve array<double>, ttc_t array<bigint>, ttc_v array<double>, hold_t array<bigint>, hold_v array<double>, ema double, last_t bigint"
+SCORED_SCHEMA = SCORE_SCHEMA + ", late boolean"
+#: The kept past: time, the two noisy quantities, the conflict proximity and the averaged score of the last frames.
+STATE = "t array<bigint>, decel array<double>, swerve array<double>, near array<double>, mean array<double>"
+PAST = [c.split()[0] for c in STATE.split(", ")]
 NOISE_ROWS, NOISE_MIN = 600, 20
 
 
@@ -26,78 +29,102 @@ def read_raw(spark, folder: str, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def _scorer(weights: Mapping[str, float], p: Mapping):
+def _most_recent(values: pd.Series, t_us: np.ndarray, seconds: float) -> np.ndarray:
+    """Maximum over the last ``seconds``, both ends included."""
+    at = pd.Series(values.to_numpy(), index=pd.to_datetime(t_us, unit="us"))
+    return at.rolling(pd.Timedelta(microseconds=round(seconds * 1e6)), closed="both").max().to_numpy()
+
+
+def score_frames(past: pd.DataFrame, new: pd.DataFrame, weights: Mapping[str, float], p: Mapping) -> tuple[np.ndarray, pd.DataFrame]:
+    """Scores of new frames in time order, and the past to keep. ``past`` has the columns of ``STATE``."""
+    k = len(past)
+    d = pd.concat([past, new], ignore_index=True)
+    t = d["t"].to_numpy(np.int64)
+    near = np.where(new["ttc"] < p["ttc_max"], np.exp(-new["ttc"] / p["ttc_tau"]), 0.0)
+    d.loc[k:, "near"] = near
+    f = {"f_ttc": near, "f_wrong": new["wrong"], "f_redrun": new["redrun"], "f_ped": new["ped"], "f_density": np.minimum(1.0, new["n_veh"] / p["density_norm"])}
+    for name, column, least in (("f_brake", "decel", p["brake_ref"]), ("f_swerve", "swerve", p["swerve_ref_deg_s"])):
+        usual = d[column].rolling(NOISE_ROWS, min_periods=NOISE_MIN).median().fillna(0.0)[k:]
+        f[name] = np.minimum(new[column].to_numpy() / np.maximum(max(least, 1e-6), p["noise_k"] * usual.to_numpy()), 1.0)
+    f["f_conflict"] = _most_recent(d["near"], t, p["conflict_memory_sec"])[k:] * np.maximum(f["f_brake"], f["f_swerve"])
+    z = weights["bias"] + sum(weights.get(c, 0.0) * np.asarray(f[c], float) for c in FEATURES)
+    raw = pd.Series(1.0 / (1.0 + np.exp(-z)))
+    before = past["mean"].iloc[-1:].reset_index(drop=True)
+    d.loc[k:, "mean"] = pd.concat([before, raw], ignore_index=True).ewm(alpha=p["ema_alpha"], adjust=False).mean().to_numpy()[len(before) :]
+    held = _most_recent(d["mean"], t, p["peak_hold_sec"])[k:]
+    score = np.minimum(np.maximum(held, p["floor"] + p["floor_density"] * np.asarray(f["f_density"], float)), 1.0)
+    # The noise needs a number of frames, the memories a stretch of time.
+    keep = (np.arange(len(d)) >= len(d) - NOISE_ROWS + 1) | (t >= t[-1] - round(max(p["conflict_memory_sec"], p["peak_hold_sec"]) * 1e6))
+    return score, d.loc[keep, PAST]
+
+
+def _scorer(weights: Mapping[str, float], p: Mapping, idle_ms: int | None):
     def score(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            s = [list(v) if isinstance(v, (list, tuple, np.ndarray)) else v for v in state.get]
-        else:
-            s = [[], [], [], [], [], [], None, -1]
-        decel, swerve, tt, tv, ht, hv, ema, last = s
-        rows = pd.concat(list(batches)).sort_values("t_us", kind="mergesort")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.t_us <= last:  # a late or repeated frame cannot change the past
-                continue
-            last = r.t_us
-            f = dict(f_wrong=r.wrong, f_redrun=r.redrun, f_ped=r.ped, f_density=min(1.0, r.n_veh / p["density_norm"]))
-            f["f_ttc"] = exp(-r.ttc / p["ttc_tau"]) if r.ttc == r.ttc and r.ttc < p["ttc_max"] else 0.0
-            for past, v, name, ref in ((decel, r.decel, "f_brake", "brake_ref"), (swerve, r.swerve, "f_swerve", "swerve_ref_deg_s")):
-                past.append(v)
-                del past[:-NOISE_ROWS]
-                floor = p["noise_k"] * float(np.median(past)) if len(past) >= NOISE_MIN else 0.0
-                f[name] = min(v / max(p[ref], floor, 1e-6), 1.0)
-            _remember(tt, tv, r.t_us, f["f_ttc"], p["conflict_memory_sec"])
-            f["f_conflict"] = max(tv) * max(f["f_brake"], f["f_swerve"])
-            z = 1.0 / (1.0 + exp(-(weights["bias"] + sum(weights.get(k, 0.0) * f[k] for k in FEATURES))))
-            ema = z if ema is None else ema + p["ema_alpha"] * (z - ema)
-            _remember(ht, hv, r.t_us, ema, p["peak_hold_sec"])
-            out.append((key[0], r.frame, r.t_us, min(max(max(hv), p["floor"] + p["floor_density"] * f["f_density"]), 1.0)))
-        state.update((decel, swerve, tt, tv, ht, hv, ema, last))
-        yield pd.DataFrame(out, columns=["video_id", "frame", "t_us", "score"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("t_us", kind="stable").rename(columns={"t_us": "t"})
+        past = pd.DataFrame({c: np.asarray(v) for c, v in zip(PAST, state.get, strict=True)} if state.exists else {c: np.zeros(0, np.int64 if c == "t" else float) for c in PAST})
+        seen = past["t"].max() if len(past) else -1
+        late = (rows["t"] <= seen) | rows["t"].duplicated()
+        new = rows[~late].reset_index(drop=True)
+        out = rows[["video_id", "frame", "t"]].rename(columns={"t": "t_us"}).assign(score=np.nan, late=late)
+        if len(new):
+            values, past = score_frames(past, new, weights, p)
+            out.loc[~late, "score"] = values
+            state.update(tuple(past[c].tolist() for c in PAST))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield out
 
     return score
 
 
-def _remember(ts: list, vs: list, t: int, v: float, sec: float) -> None:
-    ts.append(t)
-    vs.append(v)
-    old = sum(1 for x in ts if x < t - round(sec * 1e6))
-    del ts[:old], vs[:old]
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def score_stream(raw: DataFrame, weights: Mapping[str, float] = RISK_WEIGHTS, p: Mapping = RISK) -> DataFrame:
-    """Scores of a stream of raw quantities, one state per video. Frames of a video must arrive in time order over the batches."""
+def score_stream(raw: DataFrame, weights: Mapping[str, float] = RISK_WEIGHTS, p: Mapping = RISK, idle_ms: int | None = None) -> DataFrame:
+    """Scores of a stream of raw quantities, one state per video: ``video_id, frame, t_us, score, late``.
+
+    A frame that comes after a later one, or again, cannot change the past: it gets no score and ``late`` is true, so
+    ``filter("late")`` is the side table. With ``idle_ms`` the state of a video goes when nothing has come for so long; such a
+    stream wakes up for time-outs, so a replay that is to end by itself leaves it unset.
+    """
     cols = [c.split()[0] for c in RAW_SCHEMA.split(", ")]
-    return raw.select(*cols).groupBy("video_id").applyInPandasWithState(_scorer(weights, p), SCORE_SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
+    return raw.select(*cols).groupBy("video_id").applyInPandasWithState(_scorer(weights, p, idle_ms), SCORED_SCHEMA, STATE, "append", _timeout(idle_ms))
 
 
 ALARM_SCHEMA = "video_id bigint, alarm_us bigint"
 
 
-def _alarms(theta: float, gap_us: int):
+def _alarms(theta: float, gap_us: int, idle_ms: int | None):
     def alarms(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hot, end = state.get if state.exists else (False, None)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("t_us", kind="mergesort").itertuples(index=False):
-            if r.score >= theta:
-                # A new alarm starts when no run is going on and the last one is at least the gap away.
-                if not hot and (end is None or r.t_us - end >= gap_us):
-                    out.append((key[0], r.t_us))
-                hot, end = True, r.t_us
-            else:
-                hot = False
-        state.update((hot, end))
-        yield pd.DataFrame(out, columns=["video_id", "alarm_us"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        hot_before, end = state.get if state.exists else (False, None)
+        d = pd.concat(list(batches)).sort_values("t_us", kind="stable")
+        t, hot = d["t_us"].to_numpy(), (d["score"] >= theta).to_numpy()
+        # A run starts at a hot sample after a cold one; it is an alarm when the last hot sample is at least the gap away.
+        starts = hot & ~np.concatenate([[hot_before], hot[:-1]])
+        last = pd.Series(np.where(hot, t, np.nan)).ffill().shift(1).fillna(-np.inf if end is None else end).to_numpy()
+        fires = t[starts & (t - last >= gap_us)]
+        state.update((bool(hot[-1]), int(t[hot][-1]) if hot.any() else end))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"video_id": np.full(len(fires), key[0]), "alarm_us": fires})
 
     return alarms
 
 
-def alarm_stream(scores: DataFrame, theta: float = 0.5, gap_us: int = 2_000_000) -> DataFrame:
+def alarm_stream(scores: DataFrame, theta: float = 0.5, gap_us: int = 2_000_000, idle_ms: int | None = None) -> DataFrame:
     """Alarm times of a score stream, emitted at the first hot sample."""
-    return scores.select("video_id", "t_us", "score").groupBy("video_id").applyInPandasWithState(_alarms(theta, gap_us), ALARM_SCHEMA, "hot boolean, end_us bigint", "append", GroupStateTimeout.NoTimeout)
+    d = scores.select("video_id", "t_us", "score").filter("score IS NOT NULL")
+    return d.groupBy("video_id").applyInPandasWithState(_alarms(theta, gap_us, idle_ms), ALARM_SCHEMA, "hot boolean, end_us bigint", "append", _timeout(idle_ms))
 
 
-def counts_stream(tracks: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Objects per class and second of a track stream (event time in ``ts``); rows later than ``delay`` are dropped."""
+def approx_counts_stream(tracks: DataFrame, delay: str = "10 seconds", error: float = 0.01) -> DataFrame:
+    """Approximate number of objects per class and second of a track stream (event time in ``ts``); rows later than ``delay`` are dropped."""
     w = F.window("ts", "1 second")
-    return tracks.withWatermark("ts", delay).groupBy("video_id", "cls", w).agg(F.approx_count_distinct("track_id", 0.01).alias("n_objects"))
+    return tracks.withWatermark("ts", delay).groupBy("video_id", "cls", w).agg(F.approx_count_distinct("track_id", error).alias("n_objects"))

@@ -1,7 +1,7 @@
 """Final events never overlap within a class and stay inside the video; suppression and documents."""
 import json
-import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from curbstream.operators import metrics, post
@@ -11,26 +11,28 @@ from curbstream.sources import documents
 SEG = "video_id long, label string, start_us long, end_us long, confidence double, tracks array<long>"
 
 
-def test_random_segments_are_cleaned(spark):
-    rng = random.Random(0)
-    cfg = {c: dict(merge_gap=rng.uniform(0, 3), min_len=rng.uniform(0, 2), start_offset=rng.uniform(-1, 1), end_offset=rng.uniform(-1, 1), min_confidence=0.3) for c in CLASSES}
-    segs, vids = [], []
-    for v in range(300):
-        dur = rng.uniform(1, 120)
-        vids.append((v, dur))
-        for _ in range(rng.randrange(40)):
-            s = rng.uniform(-5, dur + 5)
-            segs.append((v, rng.choice(CLASSES), int(s * 1e6), int((s + rng.uniform(-1, 30)) * 1e6), rng.random(), []))
-    d = spark.createDataFrame(vids, "video_id long, duration double")
-    out = post.postprocess(spark.createDataFrame(segs, SEG), d, cfg)
-    dur, last = dict(vids), {}
-    got = sorted((r.video_id, r.label, r.start, r.end) for r in out.collect())
-    assert got
-    for v, lab, s, e in got:
-        assert 0.0 <= s < e <= dur[v] and round(s, 2) == s and round(e, 2) == e
-        assert s >= last.get((v, lab), -1.0)
-        last[(v, lab)] = e
-    assert post.validate_segments(out.withColumn("id", F.monotonically_increasing_id()), d, "id").count() == 0
+def test_clean_segments_stay_apart_and_inside(spark):
+    """Dense, reversed, negative and overlong segments of one clip per class; every class has settings of its own."""
+    g = np.random.default_rng(77)
+    cfg = {c: {"merge_gap": round(0.4 * (i % 6), 1), "min_len": round(0.25 * (i % 5), 2), "start_offset": 0.2 * (i % 3) - 0.2, "end_offset": 0.3 - 0.3 * (i % 3), "min_confidence": 0.25} for i, c in enumerate(CLASSES)}
+    length = {v: 5.0 + 11.0 * v for v in range(12)}
+    rows = []
+    for v, n in length.items():
+        for c in CLASSES:
+            at = g.normal(n / 2, n / 2, 9)
+            rows += [(v, c, int(s * 1e6), int((s + d) * 1e6), float(q), []) for s, d, q in zip(at, g.exponential(n / 6, 9) - 0.5, g.random(9), strict=True)]
+    clips = spark.createDataFrame(list(length.items()), "video_id long, duration double")
+    out = post.postprocess(spark.createDataFrame(rows, SEG), clips, cfg)
+    groups = {}
+    for r in out.collect():
+        groups.setdefault((r.video_id, r.label), []).append((r.start, r.end))
+    assert len(groups) > 100
+    for (v, _), spans in groups.items():
+        spans.sort()
+        flat = [x for s in spans for x in s]
+        assert flat == sorted(flat) and flat[0] >= 0 and flat[-1] <= length[v] and all(s < e for s, e in spans)
+        assert all(x == round(x, 2) for x in flat)
+    assert post.validate_segments(out.withColumn("id", F.monotonically_increasing_id()), clips, "id").count() == 0
 
 
 def test_touching_segments_merge_and_weak_ones_drop(spark):
@@ -83,3 +85,30 @@ def test_bad_alignment_drops_the_drawn_scene(spark):
     al = spark.createDataFrame([(1, [float(v) for v in eye], 80), (2, [float(v) for v in flip], 80), (3, [float(v) for v in eye], 10)], "video_id int, h array<double>, inliers int")
     got = aligned_shapes(sh, al).collect()
     assert [r.video_id for r in got] == [1] and abs(got[0].pts[0].x - 0.2) < 1e-12 and got[0].dir.x > 0
+
+
+def test_prediction_documents_read_back(spark, tmp_path):
+    ev = spark.createDataFrame([(1, 1.0, 2.5, "accident"), (1, 0.25, 0.5, "stop_line"), (2, 3.0, 4.0, "red_light")], "video_id long, start double, end double, label string")
+    rk = spark.createDataFrame([(1, 0.04, 0.2), (1, 0.0, 0.1), (3, 0.0, 0.5)], "video_id long, t double, score double")
+    vids = spark.createDataFrame([(v, 5.0, 25.0) for v in (1, 2, 3, 4)], "video_id long, duration double, fps double")
+    names = vids.selectExpr("video_id", "concat('clip \"', video_id, '\".mp4') as video")
+    rows = documents.prediction_rows(ev, rk, vids)
+    doc = {r.video_id: json.loads(r.json) for r in rows.collect()}
+    assert doc[1] == {"duration": 5.0, "fps": 25.0, "events": [[0.25, 0.5, "stop_line"], [1.0, 2.5, "accident"]], "risk": [[0.0, 0.1], [0.04, 0.2]]}
+    assert doc[4] == {"duration": 5.0, "fps": 25.0, "events": [], "risk": []}
+    documents.write_predictions(rows, str(tmp_path / "out"), "own team", names)
+    lines = [json.loads(x) for f in (tmp_path / "out").glob("part-*") for x in f.read_text().splitlines()]
+    assert {d["team"] for d in lines} == {"own team"} and {k for d in lines for k in d["videos"]} == {f'clip "{v}".mp4' for v in (1, 2, 3, 4)}
+
+
+def test_staging_needs_a_shared_folder(monkeypatch):
+    import pytest
+
+    from curbstream import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    with pytest.raises(ValueError, match="share"):
+        session.staging_root(type("S", (), {"conf": Conf()})())

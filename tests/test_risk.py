@@ -1,80 +1,84 @@
-"""Batch and stream give the same scores, the past never changes, and conflicts raise the risk."""
-import random
-
+"""Stream and batch scores agree, late frames go to the side table, the last two stages look back only, a threat raises the risk."""
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from scenarios import CAR, FPS, H, W, path, rows
+from worlds import HEIGHT, WIDTH, Mover, World, base_tables
 
+from curbstream.operators.metrics import alarm_starts
 from curbstream.plans import risk
 from curbstream.streaming import risk as live
 
-COLS = [c.split()[0] for c in live.RAW_SCHEMA.split(", ")]
+
+def quantities(video: int, n: int, step_us: int) -> pd.DataFrame:
+    g = np.random.default_rng(video + 40)
+    t = np.arange(n) * step_us
+    near = np.where(g.random(n) < 0.3, g.gamma(2.0, 0.6, n), np.nan)
+    return pd.DataFrame({"video_id": video, "frame": np.arange(n), "t_us": t, "ttc": near, "ped_ttc": np.nan, "decel": g.exponential(0.8, n), "swerve": g.exponential(20.0, n), "wrong": (g.random(n) < 0.05) * 1.0, "redrun": (g.random(n) < 0.03) * 1.0, "n_veh": g.integers(0, 30, n) * 1.0, "ped": (g.random(n) < 0.08) * 1.0})
 
 
 @pytest.fixture(scope="module")
-def raw(spark):
-    rng = random.Random(5)
-    out = []
-    for v in range(3):
-        for k in range(90):
-            ttc = rng.uniform(0.1, 3.0) if rng.random() < 0.4 else None
-            out.append((v, k, k * 120_000, ttc, None, rng.random() * 3, rng.random() * 60, float(rng.random() < 0.1), 0.0, float(rng.randrange(25)), float(rng.random() < 0.1)))
-    return spark.createDataFrame(out, live.RAW_SCHEMA)
+def frames():
+    return pd.concat([quantities(v, 70 + 15 * v, 100_000 + 20_000 * v) for v in range(3)], ignore_index=True)
+
+
+def to_spark(spark, d):
+    rows = [tuple(None if isinstance(x, float) and np.isnan(x) else x for x in r) for r in d.astype(object).itertuples(index=False)]
+    return spark.createDataFrame(rows, live.RAW_SCHEMA)
 
 
-def batch(raw):
-    return {(r.video_id, r.frame): r.score for r in risk.combine(risk.features(raw)).collect()}
+def play(spark, folder, parts, transform, schema, name):
+    """Writes the parts as files and reads them as a stream, one file at a time."""
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        import time
 
+        time.sleep(1.1 if i + 1 < len(parts) else 0)  # files are read in the order of their times
+    q = transform(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))).writeStream.format("memory").queryName(name)
+    q.outputMode("append").option("checkpointLocation", str(folder / "cp")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).collect()
 
-def test_stream_equals_batch(spark, raw, tmp_path):
-    for i in range(3):
-        raw.filter((F.col("frame") >= i * 30) & (F.col("frame") < i * 30 + 30)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = live.score_stream(live.read_raw(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("scores").outputMode("append")
-    q = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.video_id, r.frame): r.score for r in spark.table("scores").collect()}
-    want = batch(raw)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
+def test_stream_like_batch_and_late_frames_aside(spark, frames, tmp_path):
+    raw = to_spark(spark, frames)
+    want = {(r.video_id, r.frame): r.score for r in risk.combine(risk.features(raw)).collect()}
+    parts = [raw.filter("frame < 31"), raw.filter("frame >= 31 AND frame < 60"), raw.filter("frame >= 60 OR frame = 12")]
+    rows = play(spark, tmp_path, parts, live.score_stream, live.RAW_SCHEMA, "scored")
+    got = {(r.video_id, r.frame): r.score for r in rows if not r.late}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert sorted((r.video_id, r.frame, r.score) for r in rows if r.late) == [(v, 12, None) for v in range(3)]
 
-def test_prefix_does_not_change(raw):
-    full, part = batch(raw), batch(raw.filter("frame < 45"))
-    assert len(part) == 135 and all(abs(full[k] - v) < 1e-12 for k, v in part.items())
 
+def test_scores_look_back_only(spark, frames):
+    score = lambda d: {(r.video_id, r.frame): r.score for r in risk.combine(risk.features(to_spark(spark, d))).collect()}
+    whole, first = score(frames), score(frames[frames["frame"] < 40])
+    assert len(first) == 120 and all(whole[k] == pytest.approx(s, abs=1e-12) for k, s in first.items())
 
-def test_live_alarms_equal_batch(spark, raw, tmp_path):
-    from curbstream.operators.metrics import alarm_starts
 
-    sc = risk.combine(risk.features(raw)).withColumn("score", F.when(F.pmod(F.col("frame") * 7 + F.col("video_id"), F.lit(23)) < 6, 0.9).otherwise(0.1))
-    sc.coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(live.SCORE_SCHEMA).parquet(str(tmp_path / "in"))
-    q = live.alarm_stream(s).writeStream.format("memory").queryName("alarms").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = {(r.video_id, r.alarm_us) for r in alarm_starts(sc, ["video_id"], "t_us", "score").collect()}
-    assert {tuple(r) for r in spark.table("alarms").collect()} == want and want
+def test_alarms_like_batch(spark, frames, tmp_path):
+    g = np.random.default_rng(3)
+    scores = spark.createDataFrame(frames[["video_id", "frame", "t_us"]].assign(score=np.where(g.random(len(frames)) < 0.25, 0.8, 0.2)), live.SCORE_SCHEMA)
+    want = {(r.video_id, r.alarm_us) for r in alarm_starts(scores, ["video_id"], "t_us", "score").collect()}
+    rows = play(spark, tmp_path, [scores.filter("frame < 40"), scores.filter("frame >= 40")], live.alarm_stream, live.SCORE_SCHEMA, "rung")
+    assert {(r.video_id, r.alarm_us) for r in rows} == want and len(want) > 3
 
 
-def test_conflict_raises_risk_and_calm_traffic_does_not(spark):
+def test_threat_against_free_flow(spark):
     from curbstream.operators import scene as sc
     from curbstream.sources.documents import scene_shapes, shapes_for_videos
 
-    def car(tid, *keys):
-        return (tid, 2, path(*keys), CAR, 0, 12)
-
-    conflict = [car(1, (0, 40, 420), (5.0, 900, 420), (5.4, 950, 420), (12, 950, 420)), car(2, (0, 1040, 420), (12, 1100, 420))]
-    calm = [car(1, (0, 40, 380), (12, 1240, 380)), car(2, (0, 40, 480), (12, 1240, 480)), car(3, (0, 1240, 560), (12, 40, 560))]
-    from scenarios import RAW
-
-    raw = spark.createDataFrame(rows(0, conflict, 12) + rows(1, calm, 12), RAW)
-    videos = spark.createDataFrame([(v, FPS, W, H, 12.0) for v in (0, 1)], "video_id long, fps double, width int, height int, duration double")
-    frames = spark.createDataFrame([(v, k, k, k / FPS, int(round(k / FPS * 1e6))) for v in (0, 1) for k in range(150)], "video_id long, frame long, pos long, t double, t_us long")
-    shapes, moves, rtor = scene_shapes(spark, {})
-    scene = sc.scene_rows(shapes_for_videos(shapes, videos), videos, moves, rtor)
-    scale = videos.select("video_id", F.lit(69.0).alias("sc_a"), F.lit(0.0).alias("sc_b"), F.lit(17.0).alias("sc_min"))
-    cells = spark.createDataFrame([], "video_id long, iy int, ix int, road boolean, depth_cells double, queue boolean, crosswalk boolean")
-    votes = spark.createDataFrame([], "video_id long, iy int, ix int, gh int, gw int, track_id long, ux double, uy double")
-    phases = spark.createDataFrame([], "video_id long, signal_id string, t0_us long, t1_us long, state string")
-    st = risk.online_states(raw, scale, videos, FPS)
-    m = risk.measure(st, frames, scene, cells, votes, phases)
-    top = {r.video_id: r.top for r in risk.combine(risk.features(m)).groupBy("video_id").agg(F.max("score").alias("top")).collect()}
-    assert top[0] >= 0.5 and top[1] < 0.3, top
+    threat = World([Mover((1500, 600), [(4.2, -240, 0), (0.5, -120, 0), (5, 0, 0)]), Mover((330, 600), [(9.7, -9, 0)])], 10, 12.5)
+    free = World([Mover((1500, 520), [(9.5, -140, 0)]), Mover((1450, 700), [(9.5, -130, 0)])], 10, 12.5)
+    raw, clock, videos = base_tables(spark, [threat, free])
+    shapes, moves, right = scene_shapes(spark, {})
+    scene = sc.scene_rows(shapes_for_videos(shapes, videos), videos, moves, right)
+    body = float((120 * 90) ** 0.5)
+    scale = videos.select("video_id", F.lit(body).alias("sc_a"), F.lit(0.0).alias("sc_b"), F.lit(body / 4).alias("sc_min"))
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    cells = none("video_id long, iy int, ix int, road boolean, depth_cells double, queue boolean, crosswalk boolean")
+    votes = none("video_id long, iy int, ix int, gh int, gw int, track_id long, ux double, uy double")
+    phases = none("video_id long, signal_id string, t0_us long, t1_us long, state string")
+    assert (WIDTH, HEIGHT) == (1600, 900)
+    m = risk.measure(risk.online_states(raw, scale, videos, 12.5), clock, scene, cells, votes, phases)
+    top = {r[0]: r[1] for r in risk.combine(risk.features(m)).groupBy("video_id").agg(F.max("score")).collect()}
+    assert top[0] > 0.5 > 0.3 > top[1], top
