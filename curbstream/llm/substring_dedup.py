@@ -30,7 +30,7 @@ from curbstream.llm.common import bloom_of, input_rows, record, stage
 from curbstream.llm.words import Bloom, Words, mix, powers, word_slices
 
 WINDOW, GRAM = 50, 8
-SHARD_PIECES = 1000
+SHARD_PIECES, _ROWS_OUT = 1000, 2000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -197,31 +197,57 @@ def _digest(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[int, str,
 
 
 def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition sorted by shard: builds a shard's automaton, streams its pieces. Holds one shard."""
+    """One partition sorted by shard: builds a shard's automaton, streams its pieces. Holds one shard and some results."""
+    out: list[list] = [[] for _ in range(6)]
 
-    def run(rows: list[tuple]) -> pa.RecordBatch:
+    def run(rows: list[tuple]) -> None:
         sam = SuffixAutomaton()
         words = [np.frombuffer(r[5], np.int64).tolist() for r in rows]
         for r, w in zip(rows, words, strict=True):
             sam.add(w, r[4])
         sam.finish()
-        low, keys = [], []
         for r, w in zip(rows, words, strict=True):
-            low.append([x for n, x in sam.matches(w, WINDOW) if n >= WINDOW])
-            keys.append([hashlib.blake2b(r[5][8 * i : 8 * (i + WINDOW)], digest_size=16).digest() for i in range(len(low[-1]))] if r[6] > 1 else [])
-        cols = list(zip(*rows, strict=True))
-        return record(["a", "p1", "p2", "low", "keys"], *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(low, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.binary())))
+            low = [x for n, x in sam.matches(w, WINDOW) if n >= WINDOW]
+            keys = [hashlib.blake2b(r[5][8 * i : 8 * (i + WINDOW)], digest_size=16).digest() for i in range(len(low))] if r[6] > 1 else []
+            for c, v in zip(out, (*r[:4], low, keys), strict=True):
+                c.append(v)
+
+    def flush() -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.binary())]
+        done = record(["a", "p1", "p2", "sub", "low", "keys"], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)])
+        for c in out:
+            c.clear()
+        return done
 
     now, held = None, []
     for b in batches:
         for r in zip(*(b.column(c).to_pylist() for c in ("a", "p1", "p2", "sub", "md", "words", "subs")), strict=True):
             if (r[0], r[3]) != now:
                 if held:
-                    yield run(held)
+                    run(held)
+                if len(out[0]) > _ROWS_OUT:
+                    yield flush()
                 now, held = (r[0], r[3]), []
             held.append(r)
     if held:
-        yield run(held)
+        run(held)
+    yield flush()
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different windows of each part of a shard in a batch, with the smallest document the part knows."""
+    for b in batches:
+        held: dict[tuple[int, int, bytes], int] = {}
+        for a, sub, low, keys in zip(*(b.column(c).to_pylist() for c in ("a", "sub", "low", "keys")), strict=True):
+            held.update(zip(((a, sub, k) for k in keys), low, strict=True))
+        yield record(["a", "sub", "key", "low"], pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array([k[2] for k in held], pa.binary()), pa.array(list(held.values()), pa.int64()))
+
+
+def _merged(pieces: pa.Table, shared: pa.Table) -> pa.Table:
+    """One part's pieces with what other parts know about their windows."""
+    best = dict(zip(shared.column("key").to_pylist(), shared.column("low").to_pylist(), strict=True))
+    low = [[best.get(k, x) for k, x in zip(ks, lo, strict=True)] for ks, lo in zip(pieces.column("keys").to_pylist(), pieces.column("low").to_pylist(), strict=True)]
+    return pa.table([pieces.column("a"), pieces.column("p1"), pieces.column("p2"), pa.array(low, pa.list_(pa.int64()))], names=["a", "p1", "p2", "low"])
 
 
 def removable_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,12 +287,13 @@ def removable_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     texts = rows.select("doc_id", "text").mapInArrow(third, "a bigint, p1 bigint, p2 bigint, md bigint, words binary").groupBy("a", "p1", "p2", "md").agg(F.first("words").alias("words"))
     shards = keyed.join(texts, ["a", "p1", "p2", "md"]).select("a", "p1", "p2", "sub", "md", "words", "subs")
-    ran = stage(shards.repartition("a", "sub").sortWithinPartitions("a", "sub", "p1", "p2").mapInArrow(_automata, "a bigint, p1 bigint, p2 bigint, low array<bigint>, keys array<binary>"), "substring-automata")
+    ran = stage(shards.repartition("a", "sub").sortWithinPartitions("a", "sub", "p1", "p2").mapInArrow(_automata, "a bigint, p1 bigint, p2 bigint, sub bigint, low array<bigint>, keys array<binary>"), "substring-automata")
     whole = ran.where(F.size("keys") == 0).select("a", "p1", "p2", "low")
-    # Parts of a large shard: the smallest document of equal windows over all parts.
-    parts = ran.where(F.size("keys") > 0).select("a", "p1", "p2", F.posexplode(F.arrays_zip("low", "keys")).alias("i", "w")).select("a", "p1", "p2", "i", "w.low", F.col("w.keys").alias("key"))
-    best = parts.groupBy("a", "key").agg(F.min("low").alias("low"))
-    parts = parts.drop("low").join(best, ["a", "key"]).groupBy("a", "p1", "p2").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "low"))), lambda x: x["low"]).alias("low"))
+    # Parts of a large shard: windows that several parts have take the smallest document of all of them.
+    parts = ran.where(F.size("keys") > 0)
+    known = parts.select("a", "sub", "low", "keys").mapInArrow(_windows, "a bigint, sub bigint, key binary, low bigint")
+    best = known.groupBy("a", "key").agg(F.min("low").alias("low"), F.collect_set("sub").alias("subs")).where(F.size("subs") > 1).select("a", F.explode("subs").alias("sub"), "key", "low")
+    parts = parts.groupBy("a", "sub").cogroup(best.groupBy("a", "sub")).applyInArrow(_merged, "a bigint, p1 bigint, p2 bigint, low array<bigint>")
     low = stage(alone.union(whole).union(parts), "substring-low")
     hits = pieces.join(low, ["a", "p1", "p2"]).where(F.array_min("low") < F.col("doc_id"))
     spans = hits.select("doc_id", "th", "s0", "low").mapInArrow(_instances, "doc_id bigint, th bigint, from bigint, to bigint")
