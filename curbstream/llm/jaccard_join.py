@@ -10,16 +10,17 @@ component, so copies are not expanded into pairs, and no link between different
 3. Which groups can hold a partner: a set and a partner share one of the set's ``|A| - ceil(p |A|) + 1`` first tokens in any
    fixed order. Tokens in many documents come last in the order (counted over all documents), so common passages seldom
    bring groups together. Tokens travel as packed blocks by hash range.
-4. Each group's token union is a row of the matrix, as a bitmap of a fixed size. A query is opened against a group only if
-   its tokens in the group's row reach ``percent`` of its own size; a full bitmap prunes less and loses nothing.
-5. Opened pairs are verified: first against one member of the group, then, for groups still apart, all that remain.
+4. Each group's token union is a row of the matrix, as a bitmap of a fixed size. A query's bits that are not in the row are
+   tokens the group lacks; it is opened against the group only if what is left can reach ``percent`` of its size. A full
+   bitmap prunes less and loses nothing. Only bitmaps travel here; tokens are read for opened groups alone.
+5. Opened pairs are verified: first against a few members of the group, then, for groups still apart, all that remain.
 
 Null ids are not linked (component_id null). Rows that repeat an id count as one document. An empty table gives an empty
 result. Hashes are 64 bits wide.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from curbstream.llm.words import Words, mix, shingles, word_slices
 SHINGLE, PERCENT = 5, 80
 KEYS, PER_KEY = 8, 3
 #: Tokens in at least HEAVY documents come late in the order; at most MOST_HEAVY of them, the most frequent, are told to tasks.
-HEAVY, MOST_HEAVY = 48, 1 << 20
-MATRIX_BITS = 1 << 15
+HEAVY, MOST_HEAVY = 8, 1 << 20
+MATRIX_BITS, PIVOTS = 1 << 12, 7
 _FLUSH = 2_000_000
 
 
@@ -91,15 +92,18 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(_tokens, "doc_id bigint, tokens binary").dropDuplicates(["doc_id", "tokens"])
 
 
-def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Sets of the documents in ``ids`` (doc_id): a filter of fixed size leaves out most others before any shuffle."""
+def read_some(rows: DataFrame, ids: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``read`` over the documents in ``ids`` (doc_id). A filter of fixed size leaves out most others in the same task."""
     some = bloom_of(ids, "doc_id")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(some.has(b.column("doc_id").to_numpy())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return read(b.filter(pa.array(some.has(b.column("doc_id").to_numpy()))) for b in batches)
 
-    return shingle_sets(rows.select("doc_id", "text").mapInArrow(keep, "doc_id bigint, text string")).join(ids, "doc_id", "left_semi")
+    return rows.select("doc_id", "text").mapInArrow(run, schema).join(ids, "doc_id", "left_semi")
+
+
+def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return read_some(rows, ids, _tokens, "doc_id bigint, tokens binary").dropDuplicates(["doc_id", "tokens"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = PERCENT / 100) -> DataFrame:
@@ -262,51 +266,64 @@ def shared_prefix_tokens(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return packed.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "token bigint, s1 bigint")
 
 
-def matrix_rows(sets: DataFrame, members: DataFrame, bits: int = MATRIX_BITS) -> DataFrame:
-    """(g, row): the bitmap of all tokens of a group's members; tasks merge what they have before the shuffle."""
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap of each document's tokens, and their number."""
+    for b in batches:
+        for at, g, begin in _sets(b.column("text")):
+            rows = np.zeros((len(at), MATRIX_BITS), bool)
+            n = np.diff(np.append(begin, len(g)))
+            rows[np.repeat(np.arange(len(at)), n), (g & np.uint64(MATRIX_BITS - 1)).astype(np.int64)] = True
+            yield record(["doc_id", "n", "bits"], b.column("doc_id").take(pa.array(at)), pa.array(n), pa.array([x.tobytes() for x in np.packbits(rows, axis=1)], pa.binary()))
+
+
+def matrix_rows(bits: DataFrame, members: DataFrame) -> DataFrame:
+    """(g, row): the bits of all tokens of a group's members; tasks merge what they have before the shuffle."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: dict[int, np.ndarray] = {}
-            for g, x in zip(b.column("g").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                row = held.setdefault(g, np.zeros(bits, bool))
-                row[(np.frombuffer(x, np.uint64) & np.uint64(bits - 1)).astype(np.int64)] = True
-                if len(held) > 2000:
-                    yield packed(held)
-                    held = {}
-            yield packed(held)
-
-    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return record(["g", "tokens"], pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary()))
+            for g, x in zip(b.column("g").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                y = np.frombuffer(x, np.uint8)
+                held[g] = held[g] | y if g in held else y
+            yield record(["g", "bits"], pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary()))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, bytes] = {}
         for g, group in _grouped(batches, "g"):
-            out = np.zeros(bits // 8, np.uint8)
+            out = np.zeros(MATRIX_BITS // 8, np.uint8)
             for r in group:
-                for x in r.column("tokens").to_pylist():
+                for x in r.column("bits").to_pylist():
                     out |= np.frombuffer(x, np.uint8)
-            yield record(["g", "row"], pa.array([g], pa.int64()), pa.array([out.tobytes()], pa.binary()))
+            done[g] = out.tobytes()
+            if len(done) > 2000:
+                yield record(["g", "row"], pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.binary()))
+                done = {}
+        yield record(["g", "row"], pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.binary()))
 
-    own = sets.join(members, "doc_id").select("g", "tokens").mapInArrow(merge, "g bigint, tokens binary")
+    own = bits.join(members, "doc_id").select("g", "bits").mapInArrow(merge, "g bigint, bits binary")
     return own.repartition("g").sortWithinPartitions("g").mapInArrow(last, "g bigint, row binary")
 
 
-def _qualify(percent: int, bits: int):
+def _qualify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for i, (x, r) in enumerate(zip(b.column("tokens").to_pylist(), b.column("row").to_pylist(), strict=True)):
-                t = np.frombuffer(x, np.uint64) & np.uint64(bits - 1)
-                have = np.frombuffer(r, np.uint8)
-                hit = (have[(t >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (t & np.uint64(7)).astype(np.uint8))) & 1
-                if 100 * int(hit.sum()) >= percent * len(t):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield record(["doc_id", "g", "other", "n"], *[b.column(c).take(at) for c in ("doc_id", "g", "other")], pa.array([len(b.column("tokens")[i].as_py()) // 8 for i in keep], pa.int64()))
+            if not b.num_rows:
+                continue
+            x, r = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("bits", "row"))
+            n = b.column("n").to_numpy()
+            lacks = np.bitwise_count(x & ~r).sum(axis=1, dtype=np.int64)
+            at = pa.array(np.flatnonzero(100 * (n - lacks) >= percent * n))
+            yield record(["doc_id", "g", "other", "n"], *[b.column(c).take(at) for c in ("doc_id", "g", "other", "n")])
 
     return run
 
 
+def _asked(own: DataFrame, pairs: DataFrame, bits: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, g, other, n): members of g that the row of the group ``other`` does not rule out."""
+    asked = own.join(pairs, "g").join(bits, "doc_id").join(matrix.select(F.col("g").alias("other"), "row"), "other")
+    return asked.select("doc_id", "g", "other", "n", "bits", "row").mapInArrow(_qualify(percent), "doc_id bigint, g bigint, other bigint, n bigint")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = input_rows(docs, doc_id, text)
@@ -331,27 +348,37 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "d
     fits = (F.col("p.g") < F.col("q.g")) & (100 * F.col("p.hi") >= percent * F.col("q.lo")) & (100 * F.col("q.hi") >= percent * F.col("p.lo"))
     open_ = stage(p.join(q, "token").where(fits).select(F.col("p.g").alias("g"), F.col("q.g").alias("other")).distinct(), "jaccard-open")
 
-    both = open_.union(open_.select(F.col("other").alias("g"), F.col("g").alias("other")))
-    own = stage(members.select("doc_id", "g").join(both.select("g").distinct(), "g", "left_semi"), "jaccard-own")
-    sets = stage(sets_of(with_id, own.select("doc_id")), "jaccard-sets")
-    matrix = stage(matrix_rows(sets, own), "jaccard-matrix")
-    asked = own.join(both, "g").join(sets, "doc_id").join(matrix.select(F.col("g").alias("other"), "row"), "other")
-    able = stage(asked.select("doc_id", "g", "other", "tokens", "row").mapInArrow(_qualify(percent, MATRIX_BITS), "doc_id bigint, g bigint, other bigint, n bigint"), "jaccard-able")
-
-    x = able.select(F.col("doc_id").alias("a"), "g", "other", F.col("n").alias("na"))
-    y = able.select(F.col("doc_id").alias("b"), F.col("g").alias("other"), F.col("other").alias("g"), F.col("n").alias("nb"))
-    # First one member of the group for each query: its smallest able one.
-    one = y.groupBy("g", "other").agg(F.min(F.struct("b", "nb")).alias("y"))
-    first = x.join(one, ["g", "other"]).select("a", F.col("y.b").alias("b"))
-    found = stage(links.union(verified(first, sets, percent / 100).select("a", "b")).distinct(), "jaccard-links")
+    # The members of the smaller group ask the row of the larger one: a large group never asks for each of its small neighbours.
+    pivot = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"] for i in range(PIVOTS)]
+    sizes = stage(members.groupBy("g").agg(F.count("*").alias("m"), F.array_distinct(F.array(F.min("doc_id"), *pivot)).alias("pivots")), "jaccard-group-sizes")
+    size = lambda c: sizes.select(F.col("g").alias(c), F.col("m").alias(f"m_{c}"))
+    turn = F.col("m_g") > F.col("m_other")
+    pairs = open_.join(size("g"), "g").join(size("other"), "other")
+    pairs = stage(pairs.select(F.when(turn, F.col("other")).otherwise(F.col("g")).alias("g"), F.when(turn, F.col("g")).otherwise(F.col("other")).alias("other")), "jaccard-pairs")
+    own = stage(members.select("doc_id", "g").join(pairs.select("g").union(pairs.select("other")).distinct(), "g", "left_semi"), "jaccard-own")
+    bits = stage(read_some(with_id, own.select("doc_id"), _bits, "doc_id bigint, n bigint, bits binary"), "jaccard-bits")
+    matrix = stage(matrix_rows(bits, own), "jaccard-matrix")
+    able = stage(_asked(own, pairs, bits, matrix, percent), "jaccard-able")
+    # Opened first against a few members of the larger group, spread by hash.
+    first = able.join(sizes.select(F.col("g").alias("other"), "pivots"), "other").select(F.col("doc_id").alias("x"), F.explode("pivots").alias("y"))
+    first = stage(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-first")
+    first_ids = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct()
+    found = stage(links.union(verified(first, stage(sets_of(with_id, first_ids), "jaccard-sets"), percent / 100).select("a", "b")).distinct(), "jaccard-links")
     merged = stage(components(found), "jaccard-groups")
+    # Groups still apart are opened for all members that can reach the other side.
     now = lambda c, n: merged.select(F.col("node").alias(c), F.col("component").alias(n))
-    rest = x.where("g < other").join(y, ["g", "other"]).where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    apart = open_.join(now("g", "cg"), "g", "left").join(now("other", "co"), "other", "left").where(F.coalesce("cg", "g") != F.coalesce("co", "other")).select("g", "other")
-    rest = rest.join(apart, ["g", "other"], "left_semi")
-    more = stage(verified(rest.select("a", "b"), sets, percent / 100).select("a", "b").distinct(), "jaccard-more")
-    if more.limit(1).count():
-        merged = stage(components(found.union(more)), "jaccard-groups")
+    apart = able.select("g", "other").distinct().join(now("g", "cg"), "g", "left").join(now("other", "co"), "other", "left").where(F.coalesce("cg", "g") != F.coalesce("co", "other")).select("g", "other")
+    apart = stage(apart, "jaccard-apart")
+    if apart.limit(1).count():
+        back = _asked(own, apart.select(F.col("other").alias("g"), F.col("g").alias("other")), bits, matrix, percent)
+        x = able.join(apart, ["g", "other"], "left_semi").select(F.col("doc_id").alias("x"), "g", "other", F.col("n").alias("nx"))
+        y = back.select(F.col("doc_id").alias("y"), F.col("g").alias("other"), F.col("other").alias("g"), F.col("n").alias("ny"))
+        rest = x.join(y, ["g", "other"]).where((100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")))
+        rest = stage(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-rest")
+        rest_ids = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
+        more = stage(verified(rest, stage(sets_of(with_id, rest_ids), "jaccard-rest-sets"), percent / 100).select("a", "b").distinct(), "jaccard-more")
+        if more.limit(1).count():
+            merged = stage(components(found.union(more)), "jaccard-groups")
     ids = classes.join(merged, classes["rep"] == merged["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = d.join(ids, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
