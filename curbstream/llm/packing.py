@@ -12,8 +12,12 @@ pre-tokenizer never joins text over white space (tested).
 """
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -25,51 +29,98 @@ from curbstream.llm.common import input_rows, record, stage
 
 LENGTH, END = 2048, 0
 PIECES_PER_GROUP = 100_000
-_WORDS = 200_000
+_WORDS = 500_000
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u01EF\u01F1-\u024F"  # whose lower case is one letter
+_LATIN = re.compile(f"[{_LETTERS}]+")
+_SIGNS = ".,;:!?*$%&#"
 
 
 class Encoder:
-    """Token ids of whole texts through a bounded table of runs between ASCII white space."""
+    """Token ids of whole texts through a bounded table of runs between ASCII white space.
+
+    A run of Latin letters is one word for the pre-tokenizer, so new ones go straight to the model, in lower case and as
+    byte characters. Signs at the end of a run are a word of their own, so such a run is what stands before them and the
+    signs. Any other run passes through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(tokenizer_file)
+        self.model, self.as_bytes = self.tok.model, ByteLevel(add_prefix_space=False, use_regex=False)
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.signs: dict[str, list[int]] = {}
         self.table = np.zeros(0, np.uint32)
         self.begin = np.zeros(1, np.int64)
 
+    def _ids(self, run: str) -> list[int]:
+        if run.isascii() and run.isalpha():
+            return [t.id for t in self.model.tokenize(run.lower())]
+        if _LATIN.fullmatch(run):
+            return [t.id for t in self.model.tokenize(self.as_bytes.pre_tokenize_str(normalize("NFC", run).lower())[0][0])]
+        word = run.rstrip(_SIGNS)
+        if word != run and _LATIN.fullmatch(word):
+            k = self.at.get(word)
+            own = self._ids(word) if k is None else self.table[self.begin[k] : self.begin[k + 1]].tolist()
+            sign = run[len(word) :]
+            if sign not in self.signs:
+                self.signs[sign] = self.tok.encode(sign, add_special_tokens=False).ids
+            return own + self.signs[sign]
+        return self.tok.encode(run, add_special_tokens=False).ids
+
     def _learn(self, new: list[str]) -> None:
-        ids = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(new, add_special_tokens=False)]
-        n = len(self.at)
-        self.at.update((w, n + i) for i, w in enumerate(new))
-        self.table = np.concatenate([self.table, *ids])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        flat, ends = array("I"), array("q")
+        base, n = int(self.begin[-1]), len(self.at)
+        for w in new:
+            flat.extend(self._ids(w))
+            ends.append(base + len(flat))
+        self.at.update(zip(new, range(n, n + len(new)), strict=True))
+        self.table = np.concatenate([self.table, np.frombuffer(flat, np.uint32)])
+        self.begin = np.concatenate([self.begin, np.frombuffer(ends, np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.at) > _WORDS:
             self.clear()
-        new = dict.fromkeys(w for r in runs for w in r if w not in self.at)
+        runs, found, none = [], [], repeat(-1)
+        for t in texts:
+            t = t.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            # A-Z is lower-cased by the tokenizer either way; fewer runs differ. Special tokens are told by case.
+            r = (t.lower() if t.isascii() and "<|" not in t else t).split(" ")
+            runs.append(r)
+            found.append(np.fromiter(map(self.at.get, r, none), np.int64, len(r)))
+        gaps = [np.flatnonzero(k < 0) for k in found]
+        new = dict.fromkeys(r[i] for r, g in zip(runs, gaps, strict=True) for i in g.tolist())
         if new:
             self._learn(list(new))
-        at, out = self.at, []
-        for r in runs:
-            k = np.fromiter((at[w] for w in r), np.int64, len(r))
+        out = []
+        for r, k, g in zip(runs, found, gaps, strict=True):
+            if len(g):
+                k[g] = [self.at[r[i]] for i in g.tolist()]
             lo, n = self.begin[k], self.begin[k + 1] - self.begin[k]
             ends = np.cumsum(n)
             out.append(self.table[np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
 
+#: Kept by a worker process from task to task; a table of runs is the same whoever fills it.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row (place of the document in the input), piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer_file)
+        enc = encoder(tokenizer_file)
         for batch in batches:
             out: list[list[int | None]] = [[] for _ in range(6)]
             ids, rows, texts = (batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))
