@@ -25,13 +25,20 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
 SKIP_TAGS = frozenset("nav header footer aside form button dialog head menu".split()) | RAW
+#: What an end tag can close. RAW elements are never open: they are passed over as a whole.
+CLOSES = BLOCKS | (SKIP_TAGS - RAW)
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id names that mark what is not the article.
 SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget comment comments disqus reply replies respond cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe signup share sharing social related recommended toolbar pagination pager search login".split())
 CONTENT_WORDS = frozenset("article content entry post story main".split())
 _SPLIT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+#: A slash that is not the end of a value without quotes.
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])[^\s\"'=]*/$")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - RAW))})(?=[\s/>])", re.I)
+_RAW_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 Block = tuple[tuple[str, ...], tuple[bool, ...], str, int]  # container path, its content marks, text, characters in links
 
 
@@ -51,11 +58,28 @@ def _skipped(tag: str, attrs: dict[str, str], words: list[str]) -> bool:
     return any(w in SKIP_WORDS and not (i and words[i - 1] in ("has", "with", "no")) for i, w in enumerate(words))
 
 
+def _past_raw(html: str, tag: str, at: int, closed: bool, endless: set[str]) -> int:
+    """Where the text goes on after the start tag of a RAW element that ends at ``at``.
+
+    A self-closed one is empty, unless it is HTML's own and its end tag comes before another start tag: browsers ignore the
+    slash there. One that is never closed ends with its block. ``endless`` has the tags without a further end tag.
+    """
+    if closed and (tag in ("svg", "math") or not (m := _RAW_TAG[tag].search(html, at)) or not m[1]):
+        return at
+    m = None if tag in endless else _RAW_END[tag].search(html, at)
+    if m:
+        return m.end()
+    endless.add(tag)
+    m = _BLOCK_TAG.search(html, at)
+    return m.start() if m else len(html)
+
+
 def blocks(html: str) -> Iterator[Block]:
     """Text blocks in page order that stand in nothing skipped, with the path of their containers."""
     stack: list[tuple[str, str, bool, bool]] = []  # tag, name, skipped (itself or above), content mark
     parts: list[str] = []
     linked, link, at, end = 0, False, 0, len(html)
+    endless: set[str] = set()
 
     def close() -> Iterator[Block]:
         nonlocal linked
@@ -85,7 +109,7 @@ def blocks(html: str) -> Iterator[Block]:
         if m[1]:
             if tag == "a":
                 link = False
-            elif tag in BLOCKS:
+            elif tag in CLOSES:
                 yield from close()
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
@@ -93,8 +117,7 @@ def blocks(html: str) -> Iterator[Block]:
                         break
             continue
         if tag in RAW:
-            close_at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close_at.end() if close_at else end
+            at = _past_raw(html, tag, at, _SELF_CLOSED.search(m[3]) is not None, endless)
             continue
         if tag == "a":
             link = True
@@ -103,7 +126,7 @@ def blocks(html: str) -> Iterator[Block]:
         elif tag in BLOCKS or tag in SKIP_TAGS:
             yield from close()
             link = False
-            while stack and stack[-1][0] == "p" or stack and tag == "li" and stack[-1][0] == "li":
+            while stack and stack[-1][0] == "p" and tag != "button" or stack and tag == "li" and stack[-1][0] == "li":
                 stack.pop()
             if tag in VOID or m[3].endswith("/"):
                 continue

@@ -195,3 +195,13 @@ def test_html_of_the_tables(spark):
         body = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         parts = (" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body))
         assert r.text == "\n".join(x for x in parts if x)
+
+
+@pytest.mark.parametrize("bare", ["<button>Menu</button>", "<menu><li>Menu</menu>", "<svg><text>x</text></svg>", "<svg class='a'/>", "<math />", "<svg width=1><path>", "<iframe src='x'/>", "<script src='x'/>", "<noscript>x"])
+def test_html_text_goes_on_after_bare_elements(bare):
+    article = "<article><h1>Head</h1>{}<p>one</p><p>two <button>Share</button> three</p></article>"
+    want = "Head\none\ntwo\nthree"
+    for page in (f"<body>{bare}{article.format('')}</body>", f"<body>{article.format(bare)}<script>x()</script></body>"):
+        assert html_text.extract(page, None) == want and sum(html_text.scores(page).values()) == len(want) - 3
+    assert html_text.extract("<p class=share><button>Share</button> this</p><p>text", None) == "text"
+    assert html_text.extract("<p>a</p><script src=a/>if (b) c()</script><p>d", None) == "a\nd"
