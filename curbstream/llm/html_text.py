@@ -1,10 +1,12 @@
 """Main text of web pages by consensus host paths.
 
-First pass: every page's containers are scored by the text directly in their blocks, less what is inside links; a container
-is named by its generalised path of tags and classes. The scores of a path are summed per host in Spark, and each host's
-best path wins. Second pass: each page's blocks inside elements of the winning path are its text; a page without such an
-element takes its own best path. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-are left out wherever they stand, by tag, role and class words.
+First pass: every page votes for its containers by the text in the blocks below them, less twice what is inside links, as a
+share of the page; a container is named by its generalised path of tags and classes. The votes of a path are summed per host
+in Spark, and all paths with at least a tenth of their host's votes win. Second pass: a page's text is all its blocks but
+those of containers that are mostly links and under no winning path of the host; where containers marked as content (article,
+main, or by role or class) hold at least MOST of the page's score, only blocks inside marked ones. So a page whose layout is not its host's
+still gives its whole text. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left
+out wherever they stand, by tag, role and class words.
 
 Inside a block white space becomes one space; blocks are joined by a newline. Null and empty pages, and pages without
 text, give an empty string. Pages without a host share the votes of the host ''. Repeated rows give equal results.
@@ -12,7 +14,7 @@ text, give an empty string. Pages without a host share the votes of the host ''.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form
 #: Words of class and id names that mark what is not the article.
 SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget comment comments disqus reply replies respond cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe signup share sharing social related recommended toolbar pagination pager search login".split())
 CONTENT_WORDS = frozenset("article content entry post story main".split())
+#: The share of a page's score from which a container, or the marked ones together, stand for the page.
+MOST = 0.9
 _SPLIT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 #: A slash that is not the end of a value without quotes.
@@ -137,46 +141,93 @@ def blocks(html: str) -> Iterator[Block]:
     yield from close()
 
 
-def _path(names: tuple[str, ...], marks: tuple[bool, ...]) -> str:
-    """The container that stands for a block: the outermost one marked as content, else the innermost; ``body`` is no mark."""
+def _path(names: tuple[str, ...], marks: tuple[bool, ...]) -> tuple[str, ...]:
+    """The container that stands for a block: the outermost one marked as content, else the innermost."""
     for i, mark in enumerate(marks):
         if mark:
-            return ">".join(names[: i + 1])
-    return ">".join(names)
+            return names[: i + 1]
+    return names
 
 
-def scores(html: str) -> dict[str, float]:
-    out: dict[str, float] = {}
-    for names, marks, text, linked in blocks(html):
+class _Container:
+    __slots__ = ("score", "chars", "linked", "marked")
+
+    def __init__(self, marked: bool) -> None:
+        self.score, self.chars, self.linked, self.marked = 0, 0, 0, marked
+
+    @property
+    def plain(self) -> bool:
+        return self.chars > 2 * self.linked
+
+
+def _containers(got: list[Block]) -> dict[tuple[str, ...], _Container]:
+    out: dict[tuple[str, ...], _Container] = {}
+    for names, marks, text, linked in got:
         p = _path(names, marks)
-        out[p] = out.get(p, 0.0) + max(0, len(text) - 2 * linked)
+        c = out.get(p)
+        if c is None:
+            c = out[p] = _Container(any(marks))
+        c.score += max(0, len(text) - 2 * linked)
+        c.chars += len(text)
+        c.linked += linked
+    return out
+
+
+def scores(html: str) -> dict[str, int]:
+    return {">".join(p): c.score for p, c in _containers(list(blocks(html))).items()}
+
+
+def votes(html: str) -> dict[str, int]:
+    """What a page says of its containers, in millionths of its score: each marked one has what is below it; what is not in
+    a marked one goes to the innermost container with MOST of the page below it, unless that is the whole page."""
+    found = _containers(list(blocks(html)))
+    total, marked = sum(c.score for c in found.values()), sum(c.score for c in found.values() if c.marked)
+    if not total:
+        return {}
+    out = {">".join(p): c.score * 1_000_000 // total for p, c in found.items() if c.marked and c.score}
+    rows, at = [(p, c.score) for p, c in found.items() if c.score], ()
+    while True:
+        below: dict[str, int] = {}
+        for p, s in rows:
+            if len(p) > len(at):
+                below[p[len(at)]] = below.get(p[len(at)], 0) + s
+        name = max(below, key=lambda n: below[n], default=None)
+        if name is None or below[name] < MOST * total:
+            break
+        rows, at = [(p, s) for p, s in rows if len(p) > len(at) and p[len(at)] == name], (*at, name)
+    if at and marked < total and at[-1].split(".")[0] not in ("html", "body"):
+        path = ">".join(at)
+        out[path] = out.get(path, 0) + (total - marked) * 1_000_000 // total
     return out
 
 
-def extract(html: str, path: str | None) -> str:
+def extract(html: str, paths: Iterable[str] | None = None) -> str:
+    """The text of a page; ``paths``: the winning containers of its host."""
     got = list(blocks(html))
-    found = [t for names, _, t, _ in got if path is not None and (">".join(names) + ">").startswith(path + ">")]
-    if not found and got:
-        own = scores(html)
-        best = max(own, key=lambda p: (own[p], p))
-        found = [t for names, _, t, _ in got if (">".join(names) + ">").startswith(best + ">")]
-    return "\n".join(found)
+    found = _containers(got)
+    total, marked = sum(c.score for c in found.values()), sum(c.score for c in found.values() if c.marked)
+    bounded, heads = 0 < MOST * total <= marked, tuple(f"{p}>" for p in paths or ())
+    kept = {p for p, c in found.items() if (c.marked or not bounded) and (c.plain or (">".join(p) + ">").startswith(heads))}
+    return "\n".join([t for names, marks, t, _ in got if _path(names, marks) in kept] or [t for _, _, t, _ in got])
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path, score, share: the winning container path of each host."""
+    """host, path, score, share, paths: the best container path of each host, and all with at least a tenth of its votes."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: dict[tuple[str, str], float] = {}
+            sums: dict[tuple[str, str], int] = {}
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                for p, s in scores(page).items():
-                    sums[host, p] = sums.get((host, p), 0.0) + s
-            yield record(["host", "path", "score"], pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array(list(sums.values()), pa.float64()))
+                for p, s in votes(page).items():
+                    sums[host, p] = sums.get((host, p), 0) + s
+            yield record(["host", "path", "score"], pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array(list(sums.values()), pa.int64()))
 
-    votes = pages.select(*_pages(pages, url, html)).mapInArrow(vote, "host string, path string, score double")
-    votes = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
-    return votes.groupBy("host").agg(F.max(F.struct("score", "path")).alias("best"), F.sum("score").alias("all")).select("host", "best.path", "best.score", F.when(F.col("all") > 0, F.col("best.score") / F.col("all")).otherwise(0.0).alias("share"))
+    cast = pages.select(*_pages(pages, url, html)).mapInArrow(vote, "host string, path string, score bigint")
+    cast = stage(cast.groupBy("host", "path").agg(F.sum("score").alias("score")), "host-votes")
+    best = cast.groupBy("host").agg(F.max(F.struct("score", "path")).alias("best"), F.sum("score").alias("all"))
+    # At most ten of each host.
+    many = cast.join(best.select("host", "all"), "host").where(F.col("score") * 10 >= F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return best.join(many, "host").select("host", "best.path", "best.score", F.when(F.col("all") > 0, F.col("best.score") / F.col("all")).otherwise(0.0).alias("share"), "paths")
 
 
 def _pages(pages: DataFrame, url: str, html: str) -> list[Column]:
@@ -185,15 +236,15 @@ def _pages(pages: DataFrame, url: str, html: str) -> list[Column]:
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, host, path (the host's winning path)."""
+    """One row per page: page_id, url, text, n_chars, host, path (the host's best path, null where none stands out)."""
     winners = stage(host_paths(pages, url, html), "host-paths")
     rows = pages.select(pages[page_id].alias("page_id"), pages[url].cast("string").alias("url"), *_pages(pages, url, html))
-    joined = rows.join(winners.select("host", "path"), "host", "left")
+    joined = rows.join(winners.select("host", "path", "paths"), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("paths").to_pylist(), strict=True)]
             yield record(["page_id", "url", "text", "n_chars", "host", "path"], b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column("host"), b.column("path"))
 
     kind = dict(rows.dtypes)["page_id"]
-    return joined.select("page_id", "url", "html", "host", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint, host string, path string")
+    return joined.select("page_id", "url", "html", "host", "path", "paths").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint, host string, path string")

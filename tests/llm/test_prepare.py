@@ -205,3 +205,18 @@ def test_html_text_goes_on_after_bare_elements(bare):
         assert html_text.extract(page, None) == want and sum(html_text.scores(page).values()) == len(want) - 3
     assert html_text.extract("<p class=share><button>Share</button> this</p><p>text", None) == "text"
     assert html_text.extract("<p>a</p><script src=a/>if (b) c()</script><p>d", None) == "a\nd"
+
+
+def test_html_text_from_several_containers(spark):
+    long, more = " ".join(["long text"] * 30), " ".join(["other words"] * 25)
+    menu = "<div class='x'><a href=a>one page</a> <a href=b>another page</a></div>"
+    two = f"<body>{menu}<div class='intro'><p>short start</p></div><div class='text'><p>{long}</p></div></body>"
+    nested = f"<body>{menu}<div class='outer'><p>{more}</p><div class='inner'><p>{long}</p></div><p>end</p></div></body>"
+    card = f"<body><div class='text'><p>{long}</p></div><article><p>a card</p></article></body>"
+    usual = f"<body>{menu}<article><p>{long}</p><div class='list'><p><a href=c>see this one</a></div></article><p>tail</p></body>"
+    rows = [(1, "http://a/1", two), (2, "http://b/2", nested), (3, "http://c/3", card), *((4 + i, f"http://c/{4 + i}", usual) for i in range(5))]
+    rows += [(9, "http://d/9", two), *((10 + i, f"http://d/{10 + i}", two.replace("<div class='intro'><p>short start</p></div>", "")) for i in range(5))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == got[9] == f"short start\n{long}" and got[10] == long
+    assert got[2] == f"{more}\n{long}\nend"
+    assert got[3] == f"{long}\na card" and got[4] == f"{long}\nsee this one"
