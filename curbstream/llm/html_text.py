@@ -32,6 +32,8 @@ CLOSES = BLOCKS | (SKIP_TAGS - RAW)
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id names that mark what is not the article.
 SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget comment comments disqus reply replies respond cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe signup share sharing social related recommended toolbar pagination pager search login".split())
+#: Words that say nothing beside those; a name with any other word (search-engine-history) may mean something else.
+PLAIN_WORDS = frozenset("list area box wrapper wrap section inner outer container block bar links link item items form left right top bottom site page primary secondary global posts articles panel group row col column icon icons button buttons count title text thread body the".split())
 CONTENT_WORDS = frozenset("article content entry post story main".split())
 #: The share of a page's score from which a container, or the marked ones together, stand for the page.
 MOST = 0.9
@@ -54,12 +56,24 @@ def _words(attrs: dict[str, str]) -> list[str]:
     return [w.lower() for w in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")]
 
 
-def _skipped(tag: str, attrs: dict[str, str], words: list[str]) -> bool:
-    if tag in SKIP_TAGS or attrs.get("role", "").lower() in SKIP_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "main"):
-        return False
-    return any(w in SKIP_WORDS and not (i and words[i - 1] in ("has", "with", "no")) for i, w in enumerate(words))
+def _skipped(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in SKIP_TAGS or attrs.get("role", "").lower() in SKIP_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _named(tag: str, attrs: dict[str, str]) -> tuple[bool, bool | None]:
+    """Whether an element is marked as content, and what its class and id names say against it: None nothing, True clearly,
+    False perhaps. Names of categories and tags say what a page is about, not what the element is."""
+    mark, against, last = tag in ("article", "main") or attrs.get("role") in ("main", "article"), None, ""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if not words or len(words) > 1 and words[0] in ("category", "tag"):
+            continue
+        if any(w in SKIP_WORDS and p not in ("has", "with", "no") for w, p in zip(words, [last, *words], strict=False)):
+            against = against or all(w in SKIP_WORDS or w in PLAIN_WORDS or w in CONTENT_WORDS for w in words)
+        elif CONTENT_WORDS & set(words):
+            mark = True
+        last = words[-1]
+    return mark, None if mark or tag in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6") else against
 
 
 def _past_raw(html: str, tag: str, at: int, closed: bool, endless: set[str]) -> int:
@@ -78,14 +92,50 @@ def _past_raw(html: str, tag: str, at: int, closed: bool, endless: set[str]) ->
     return m.start() if m else len(html)
 
 
-def blocks(html: str) -> Iterator[Block]:
-    """Text blocks in page order that stand in nothing skipped, with the path of their containers."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, skipped (itself or above), content mark
+def blocks(html: str) -> list[Block]:
+    """Text blocks in page order that stand in nothing skipped, with the path of their containers.
+
+    What class and id names speak against is left out, unless that would be most of the page's text: names that may mean
+    something else, if they would take half of it and marked containers elsewhere have less than a quarter; clear ones, if
+    they would take nine tenths and those have less than a tenth. Elements that are mostly links stay out.
+    """
+    sure: list[bool] = []
+    got = list(_blocks(html, sure))
+    free: set[int] = set()  # elements that are judged to be text
+    while sure:
+        total, marked = 0, 0
+        held: dict[int, list[int]] = {}
+        for _, marks, text, linked, against in got:
+            score = max(0, len(text) - 2 * linked)
+            total += score
+            top = next((e for e in against if e not in free), None)
+            if top is None:
+                marked += score if any(marks) else 0
+                continue
+            h = held.setdefault(top, [0, 0, 0])
+            h[0] += score
+            h[1] += len(text)
+            h[2] += linked
+        texts = [e for e, (_, chars, links) in held.items() if chars > 2 * links]
+        maybe = [e for e in texts if not sure[e]]
+        if 2 * sum(held[e][0] for e in maybe) > total and 4 * marked < total:
+            free.update(maybe)
+        elif sum(held[e][0] for e in texts) > MOST * total and 10 * marked < total:
+            free.update(texts)
+        else:
+            break
+    return [b[:4] for b in got if free.issuperset(b[4])]
+
+
+def _blocks(html: str, sure: list[bool]) -> Iterator[tuple[tuple[str, ...], tuple[bool, ...], str, int, tuple[int, ...]]]:
+    """Blocks that no tag, role or attribute hides, with the elements around them whose names speak against them, outermost
+    first; ``sure`` gets, for each of those, whether its names do so clearly."""
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, name, skipped (itself or above), content mark, elements with names against them
     parts: list[str] = []
     linked, link, at, end = 0, False, 0, len(html)
     endless: set[str] = set()
 
-    def close() -> Iterator[Block]:
+    def close() -> Iterator[tuple[tuple[str, ...], tuple[bool, ...], str, int, tuple[int, ...]]]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text and not (stack and stack[-1][2]):
@@ -93,7 +143,7 @@ def blocks(html: str) -> Iterator[Block]:
             n = len(stack)
             while n and stack[n - 1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "dd", "dt", "dl", "td", "tr", "th", "tbody", "thead", "table", "figure", "figcaption"):
                 n -= 1
-            yield tuple(s[1] for s in stack[:n]), tuple(s[3] for s in stack[:n]), text, linked
+            yield tuple(s[1] for s in stack[:n]), tuple(s[3] for s in stack[:n]), text, linked, stack[-1][4] if stack else ()
         parts.clear()
         linked = 0
 
@@ -135,9 +185,13 @@ def blocks(html: str) -> Iterator[Block]:
             if tag in VOID or m[3].endswith("/"):
                 continue
             attrs = _attributes(m[3])
-            words = _words(attrs)
-            name = tag + "".join(f".{w}" for w in sorted(set(words)))
-            stack.append((tag, name, bool(stack and stack[-1][2]) or _skipped(tag, attrs, words), tag in ("article", "main") or attrs.get("role") in ("main", "article") or bool(CONTENT_WORDS & set(words))))
+            name = tag + "".join(f".{w}" for w in sorted(set(_words(attrs))))
+            mark, against = _named(tag, attrs)
+            around = stack[-1][4] if stack else ()
+            if against is not None:
+                around = (*around, len(sure))
+                sure.append(against)
+            stack.append((tag, name, bool(stack and stack[-1][2]) or _skipped(tag, attrs), mark, around))
     yield from close()
 
 
@@ -174,13 +228,13 @@ def _containers(got: list[Block]) -> dict[tuple[str, ...], _Container]:
 
 
 def scores(html: str) -> dict[str, int]:
-    return {">".join(p): c.score for p, c in _containers(list(blocks(html))).items()}
+    return {">".join(p): c.score for p, c in _containers(blocks(html)).items()}
 
 
 def votes(html: str) -> dict[str, int]:
     """What a page says of its containers, in millionths of its score: each marked one has what is below it; what is not in
     a marked one goes to the innermost container with MOST of the page below it, unless that is the whole page."""
-    found = _containers(list(blocks(html)))
+    found = _containers(blocks(html))
     total, marked = sum(c.score for c in found.values()), sum(c.score for c in found.values() if c.marked)
     if not total:
         return {}
@@ -203,7 +257,7 @@ def votes(html: str) -> dict[str, int]:
 
 def extract(html: str, paths: Iterable[str] | None = None) -> str:
     """The text of a page; ``paths``: the winning containers of its host."""
-    got = list(blocks(html))
+    got = blocks(html)
     found = _containers(got)
     total, marked = sum(c.score for c in found.values()), sum(c.score for c in found.values() if c.marked)
     bounded, heads = 0 < MOST * total <= marked, tuple(f"{p}>" for p in paths or ())

@@ -220,3 +220,19 @@ def test_html_text_from_several_containers(spark):
     assert got[1] == got[9] == f"short start\n{long}" and got[10] == long
     assert got[2] == f"{more}\n{long}\nend"
     assert got[3] == f"{long}\na card" and got[4] == f"{long}\nsee this one"
+
+
+LONG = " ".join(["long text"] * 30)
+
+
+@pytest.mark.parametrize("start", ["<article class='post type-post category-social tag-search'>", "<div class='post type-post category-social tag-search'>", "<div class='article-body related-science'>", "<div id='search-engine-history'>", "<div class='page-header'>", "<div class='header-layout'><article>", "<div class='share'><div class='comments'>"])
+def test_html_text_judges_names_by_what_they_take(start):
+    page = f"<body><div class='sidebar'><a href=a>one</a><a href=b>two</a></div>{start}<h2 class='section-header'>Head</h2><p>{LONG}</p></div>"
+    assert html_text.extract(page) == f"Head\n{LONG}"
+
+
+def test_html_text_leaves_out_what_names_mark():
+    rest = f"<div class='comments'><p>{LONG} {LONG}</p></div><div class='post-navigation'>next</div><div id='nyt-sidebar'><p>more</p></div><li class='social-links'>x</li>"
+    assert html_text.extract(f"<body><article><h1>T</h1><p>{LONG}</p></article>{rest}") == f"T\n{LONG}"
+    assert html_text.extract(f"<body><div id='search-engine-history'><p>{LONG}</p>{rest.replace(f'{LONG} ', '')}</div>").startswith(LONG)
+    assert html_text.extract(f"<body><div class='text'><p>{LONG}</p>{rest}") == LONG
