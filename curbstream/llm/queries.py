@@ -30,6 +30,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,5 +67,5 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_shards, op3_jaccard_join, op4_fingerprints, op5_mixing, op6_packing, op7_language_id, op8_license_scan, op9_html_text, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_shards, op3_jaccard_join, op4_fingerprints, op4_near_documents, op5_mixing, op6_packing, op7_language_id, op8_license_scan, op9_html_text, op10_exact_dedup)}
 ORACLE: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_exact_dedup": OP10_SQL}

@@ -128,3 +128,36 @@ def test_near_documents(docs, corpus):
         a, b = known[r.a], known[r.b]
         assert r.jaccard == pytest.approx(len(a & b) / len(a | b)) and r.jaccard >= 0.8
     assert {(r.a, r.b) for r in got} >= {(100, 101), (100, 102)}
+
+
+def test_near_documents_find_all_links(spark):
+    """Unlike texts with a common passage come first in many bands; chains of edits; equal shingle sets; common first words."""
+    rows, w = [], lambda x, n: [f"{x}{i}" for i in range(n)]
+    passage = w("p", 120)
+    for i in range(12):
+        rows.append((i, " ".join(passage + w(f"u{i}x", 60))))
+    for i in range(10):
+        base = passage + w(f"v{i}x", 70)
+        rows += [(100 + 10 * i + k, " ".join([*base[: len(base) - 5 * k], *w(f"e{k}y", 5 * k)])) for k in range(6)]
+    rows += [(300, rows[0][1]), (301, rows[20][1]), (302, rows[20][1].upper())]
+    known = {d: brute.shingle_set(t) for d, t in rows}
+    got = fingerprints.near_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    like = lambda a, b: len(known[a] & known[b]) / len(known[a] | known[b])
+    assert got and all(r.a < r.b and r.jaccard == pytest.approx(like(r.a, r.b)) and r.jaccard >= 0.8 for r in got)
+    comp = {d: d for d in known}
+    for r in got:
+        x, y = comp[r.a], comp[r.b]
+        comp = {d: min(x, y) if c in (x, y) else c for d, c in comp.items()}
+    assert comp == {d: c for d, (_, c) in brute.jaccard_components(rows).items()}
+
+
+def test_near_documents_are_a_query(spark):
+    from curbstream.llm.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    comp = {d: d for d in (r.doc_id for r in docs)}
+    for r in QUERIES["op4_near_documents"](spark, "/root/testdata/sf0.001").collect():
+        x, y = comp[r.a], comp[r.b]
+        comp = {d: min(x, y) if c in (x, y) else c for d, c in comp.items()}
+    want = {d: c for d, (_, c) in brute.jaccard_components([tuple(r) for r in docs]).items()}
+    assert comp == want and len(set(want.values())) < len(want)
