@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbstream.llm import exact_dedup, fingerprints, html_text, jaccard_join, language_id, license_scan, mixing, packing, shards, substring_dedup
+from curbstream.llm import block_max, exact_dedup, fingerprints, html_text, jaccard_join, language_id, license_scan, mixing, packing, resampling, shards, substring_dedup, warc
 from curbstream.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,11 +61,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write(table(spark, sf_dir, "pages"))
+    return warc.parse(warc.read(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.search(block_max.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = """
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_shards, op3_jaccard_join, op4_fingerprints, op4_near_documents, op5_mixing, op6_packing, op7_language_id, op8_license_scan, op9_html_text, op10_exact_dedup)}
-ORACLE: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_exact_dedup": OP10_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_shards, op3_jaccard_join, op4_fingerprints, op4_near_documents, op5_mixing, op6_packing, op7_language_id, op8_license_scan, op9_html_text, op10_exact_dedup, op11_resampling, op12_warc, op13_lexical_search)}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_exact_dedup": OP10_SQL, "op11_resampling": resampling.ORACLE, "op12_warc": warc.ORACLE, "op13_lexical_search": block_max.ORACLE}
