@@ -169,7 +169,7 @@ def test_blocks_are_refused_unopened():
     r = np.random.default_rng(3)
     shard, rows = block_max._Shard(), []
     for i in range(6000):
-        w = ["the"] * ((1 if i < 3000 else 6) * (r.random() < 0.6)) + [f"t{r.integers(40)}" for _ in range(r.integers(20, 30))] + (["rare"] * r.integers(1, 9) if r.random() < 0.05 else [])
+        w = ["the"] * ((1 if i < 3000 else 6) * (r.random() < 0.6)) + [f"t{r.integers(40)}" for _ in range(r.integers(20, 30) * (3 if i < 3000 else 1))] + (["rare"] * r.integers(1, 9) if r.random() < 0.05 else [])
         rows.append((i, " ".join(w)))
         shard.add(i, rows[-1][1].encode())
     total = sum(shard.lengths)
