@@ -3,15 +3,15 @@
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbstream.functions import geometry as geo
 from curbstream.operators import scene as sc
-from curbstream.operators.greedy import match_one_to_one
 from curbstream.operators.intervals import merge_intervals, overlap_join
 from curbstream.operators.lookup import next_change, state_at
 from curbstream.operators.ordered import Scan, ordered_scan, runs, time_halo, with_chunk
@@ -245,41 +245,51 @@ STOP = ["lost", "x", "y", "moved", "hx", "hy", "sc_a", "sc_b", "sc_min", "width"
 def link_stops(e: DataFrame, gap_us: int, iou_min: float) -> DataFrame:
     """Stops at one place under changing ids become one: the values of the first, the last end, all tracks in order.
 
-    Edges lead from a lost stop to a stop that starts within the gap in an overlapping box. In start order each stop takes
-    its earliest free forerunner; chains are followed by pointer doubling and cut where a box leaves that of the chain's
-    head. Nothing but edges and one narrow row per stop is kept, however long a camera's stops hang together. Where two lost
-    stops in one place compete for a follower, the one that began first has it.
+    In start order each stop joins the first chain, by its head's start, that was lost within the gap before and whose head's
+    box it overlaps. A camera's stops fall into stretches that no chain can cross; each stretch is walked once in start
+    order, holding only the chains that may still grow.
     """
     e = stage(e.withColumn("node", F.struct("start_us", "track_id")), "stops")
-    later = e.select("video_id", "node", "start_us", *[f"b{c}" for c in BOX])
-    lost = e.filter("lost").select("video_id", F.col("node").alias("prev"), F.col("end_us").alias("p0"), (F.col("end_us") + gap_us).alias("p1"), *[F.col(f"b{c}").alias(f"p{c}") for c in BOX])
-    own, other = tuple(f"b{c}" for c in BOX), tuple(f"p{c}" for c in BOX)
-    edges = overlap_join(later, lost, ["video_id"], ("start_us", "start_us"), ("p0", "p1"), BUCKET).filter((F.col("prev") < F.col("node")) & (geo.box_iou(own, other) > iou_min))
-    taken = match_one_to_one(edges.select("video_id", F.struct("node", "prev").alias("rank"), "node", "prev"), ["video_id"], "node", "prev", ["rank"])
-    up = stage(e.select("video_id", "node").join(taken.select("video_id", "node", "prev"), ["video_id", "node"], "left").select("video_id", "node", F.coalesce("prev", "node").alias("head")), "stop_chain")
-    while True:
-        over = up.select("video_id", F.col("node").alias("head"), F.col("head").alias("top"))
-        far = stage(up.join(over, ["video_id", "head"]), "stop_chain")
-        done = far.filter("top <> head").isEmpty()
-        up = far.select("video_id", "node", F.col("top").alias("head"))
-        if done:
-            break
-    boxes = e.select("video_id", "node", F.struct(*own).alias("box"))
-    heads = boxes.select("video_id", F.col("node").alias("head"), F.col("box").alias("hbox"))
-    while True:
-        c = up.join(boxes, ["video_id", "node"]).join(heads, ["video_id", "head"])
-        off = (F.col("node") != F.col("head")) & (geo.box_iou(tuple(f"box.{x}" for x in own), tuple(f"hbox.{x}" for x in own)) <= iou_min)
-        cut = stage(c.filter(off).groupBy("video_id", "head").agg(F.min("node").alias("cut")), "stop_cuts")
-        if cut.isEmpty():
-            break
-        up = up.join(cut, ["video_id", "head"], "left").select("video_id", "node", F.when(F.col("node") >= F.col("cut"), F.col("cut")).otherwise(F.col("head")).alias("head"))
-        up = stage(up, "stop_chain")
+    own = [f"b{c}" for c in BOX]
+    d = e.select("video_id", "node", "start_us", "track_id", "end_us", "lost", *own).withColumn("__reach", F.when(F.col("lost"), F.col("end_us") + gap_us))
+    d = ordered_scan(with_chunk(d, "start_us", CHUNK), ["video_id"], "chunk", ["start_us", "track_id"], [Scan("max_before", "__reach", "__upto")])
+    d = d.withColumn("__cut", F.when(F.coalesce(F.col("start_us") <= F.col("__upto"), F.lit(False)), 0).otherwise(1))
+    d = ordered_scan(d, ["video_id"], "chunk", ["start_us", "track_id"], [Scan("sum", "__cut", "stretch")])
+    cols = ["video_id", "stretch", "start_us", "track_id", "end_us", "lost", *own]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, chains = None, []  # a chain: end, head, head's box
+        for batch in batches:
+            heads: list[tuple[int, int]] = []
+            for video, stretch, start, track, end, lost, *box in zip(*(batch.column(c).to_pylist() for c in cols), strict=True):
+                if (video, stretch) != place:
+                    place, chains = (video, stretch), []
+                chains = [c for c in chains if c[0] >= start - gap_us]
+                at = next((i for i, c in enumerate(chains) if c[0] <= start and _iou(c[2], box) > iou_min), None)
+                chain = (end, (start, track), box) if at is None else (end, *chains[at][1:])
+                heads.append(chain[1])
+                if at is None:
+                    chains += [chain] if lost else []
+                else:
+                    chains[at : at + 1] = [chain] if lost else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("video_id", "start_us", "track_id")), *(pa.array([h[i] for h in heads], pa.int64()) for i in (0, 1))], names=["video_id", "start_us", "track_id", "head_us", "head_track"])
+
+    width = max(1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = d.select(*cols).repartition(width, "video_id", "stretch").sortWithinPartitions("video_id", "stretch", "start_us", "track_id")
+    up = dealt.mapInArrow(walk, "video_id bigint, start_us bigint, track_id bigint, head_us bigint, head_track bigint")
+    up = up.select("video_id", F.struct("start_us", "track_id").alias("node"), F.struct(F.col("head_us").alias("start_us"), F.col("head_track").alias("track_id")).alias("head"))
     e = e.join(up, ["video_id", "node"])
     first, last = F.struct(*[c for c in STOP if c != "lost"]), F.col("lost")
     g = e.groupBy("video_id", "head").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max_by(last, "node").alias("lost"), F.min_by(first, "node").alias("f"), F.transform(F.sort_array(F.collect_list("node")), lambda n: n["track_id"]).alias("tracks"))
     return g.select("video_id", "start_us", "end_us", "lost", "f.*", "tracks")
 
 
+def _iou(a: Sequence[float], b: Sequence[float]) -> float:
+    both = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+    area = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return both / area if area > 0 else 0.0
+
+
 @rule("stopped_vehicle")
 def stopped_vehicle(x: Tables, p: Mapping, link: bool = True) -> DataFrame:
     allv = kind(x.tracks, "vehicle", False).select(*TRACK, "t_us", "foot_x", "foot_y", "vx", "vy", "speed", "width", "height")

@@ -9,6 +9,7 @@ from curbstream.plans import conflicts, detect, risk, rules, tuning
 from curbstream.plans.params import CLASSES, EVENTS, RISK, RISK_WEIGHTS
 from curbstream.queries import track_sql as q
 from curbstream.queries.metric_queries import BUCKET, CURVE, timeline
+from curbstream.queries.online_queries import quantities
 from curbstream.queries.registry import query
 from curbstream.queries.scene_queries import scene_of
 from curbstream.queries.series_queries import T0
@@ -164,17 +165,10 @@ def q_documents(spark, folder):
     return prediction_rows(q_final(spark, folder), rk, inputs(spark, folder).videos)
 
 
-def raw_quantities(spark, folder) -> DataFrame:
-    x = inputs(spark, folder)
-    scale = x.tracks.select("video_id", "sc_a", "sc_b", "sc_min").distinct()
-    st = risk.online_states(fx.tracks_raw(spark, folder), scale, x.videos, fx.FPS)
-    return risk.measure(st, x.frames, x.scene, x.cells, x.votes, x.phases)
-
-
 def risk_of(spark, folder) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _RISK:
-        raw = stage(raw_quantities(spark, folder), "risk_raw")
+        raw = stage(quantities(spark, folder), "risk_raw")
         _RISK[key] = stage(risk.combine(stage(risk.features(raw), "risk_features")), "risk")
     return _RISK[key]
 
