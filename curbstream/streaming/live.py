@@ -28,9 +28,9 @@ from curbstream.plans.risk import DROP_US, SEEN_US, VEL_US
 from curbstream.streaming.risk import RAW_SCHEMA
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A tick has no track; ``signals`` (on ticks) is the state of each head.
+#: The class of a row is ``kind`` from here on. A tick has no track; ``signals`` (on ticks) is the state of each head.
 TRACK_SCHEMA = "video_id bigint, frame bigint, t_us bigint, track_id bigint, ord bigint, cls int, conf double, x1 double, y1 double, x2 double, y2 double, signals map<string,string>, last boolean"
-ROW = "frame bigint, t_us bigint, track_id bigint, ord bigint, cls int, conf double, x1 double, y1 double, x2 double, y2 double, signals string, last boolean, pos bigint, keep int, width int, height int"
+ROW = "frame bigint, t_us bigint, track_id bigint, ord bigint, kind int, conf double, x1 double, y1 double, x2 double, y2 double, signals string, last boolean, pos bigint, keep int, width int, height int"
 ROWS = [c.split()[0] for c in ROW.split(", ")]
 MOTION = "ax double, y double, gx double, gy double, n bigint, first_us bigint, mconf double, life bigint, late boolean"
 TICK = -1
@@ -130,7 +130,7 @@ def motion_stream(tracks: DataFrame, videos: DataFrame, delay_us: int = 0, p: Ma
     d = tracks.join(v, "video_id").filter(F.pmod(F.col("frame"), F.col("__s")) == 0).withColumn("pos", F.floor(F.col("frame") / F.col("__s")))
     z = F.lit(0.0)
     d = d.select(
-        "video_id", "frame", "t_us", F.coalesce("track_id", F.lit(TICK)).cast("bigint").alias("track_id"), F.coalesce("ord", F.lit(0)).cast("bigint").alias("ord"), F.coalesce("cls", F.lit(-1)).alias("cls"),
+        "video_id", "frame", "t_us", F.coalesce("track_id", F.lit(TICK)).cast("bigint").alias("track_id"), F.coalesce("ord", F.lit(0)).cast("bigint").alias("ord"), F.coalesce("cls", F.lit(-1)).alias("kind"),
         *[F.coalesce(c, z).alias(c) for c in ("conf", "x1", "y1", "x2", "y2")], F.coalesce(F.to_json("signals"), F.lit("{}")).alias("signals"), F.coalesce("last", F.lit(False)).alias("last"), "pos", "keep", "width", "height",
     )
     return d.groupBy("video_id").transformWithStateInPandas(Motion(delay_us), f"video_id bigint, {ROW}, {MOTION}", "Append", "None")
@@ -158,7 +158,7 @@ def with_drawn(motion: DataFrame, scene: DataFrame) -> DataFrame:
 class Quantities(StatefulProcessor):
     """Key: video. One row of raw risk quantities a processed frame; frames come whole and in order."""
 
-    TRACK = "t bigint, life bigint, cls int, x1 double, y1 double, x2 double, y2 double, x double, y double, vx double, vy double, ht array<bigint>, hs array<double>, hh array<double>, n_hist bigint, mconf double, first_us bigint, edge boolean, still bigint, queued boolean, seen string"
+    TRACK = "t bigint, life bigint, kind int, x1 double, y1 double, x2 double, y2 double, x double, y double, vx double, vy double, ht array<bigint>, hs array<double>, hh array<double>, n_hist bigint, mconf double, first_us bigint, edge boolean, still bigint, queued boolean, seen string"
 
     def __init__(self, p: Mapping) -> None:
         self.p = dict(p)
@@ -213,12 +213,12 @@ class Quantities(StatefulProcessor):
         hz = (int(f["keep"].iloc[0]) - 2) / online.HISTORY_SEC
         red = self._red(f, pos, max(1, int(hz)))
         active = sorted((k, s) for k, s in self.now.items() if t - s["t"] <= SEEN_US)
-        n_veh = float(sum(s["cls"] in VEHICLES and s["mconf"] >= p["min_track_conf"] for _, s in active))
+        n_veh = float(sum(s["kind"] in VEHICLES and s["mconf"] >= p["min_track_conf"] for _, s in active))
         keep = [(k, s) for k, s in active if self._trusted(s, height)]
         ttc, ped_ttc = self._collisions(keep, t, pos, height)
         if pos % online.REFIT == 0:
             self.gaps = {k: g for k, g in self.gaps.items() if g[0][-1] >= t - 3_000_000}
-        veh = [s for _, s in keep if s["cls"] in VEHICLES]
+        veh = [s for _, s in keep if s["kind"] in VEHICLES]
         decel, swerve = np.array([self._trend(s, t) for s in veh]).reshape(-1, 2).max(0, initial=0.0)
         return (ttc, ped_ttc, float(decel), float(swerve), float(any(self._wrong(s) for s in veh)), float(any(self._runs(s, red) for s in veh)), n_veh, float(ped_ttc is not None and ped_ttc < 3.0 and self._walkers(keep, pos)))
 
@@ -226,7 +226,7 @@ class Quantities(StatefulProcessor):
         return np.maximum(self.scale[2], self.scale[0] + self.scale[1] * y)
 
     def _fit(self, rows: pd.DataFrame, pos: int) -> None:
-        veh = rows[rows["cls"].isin(VEHICLES)].sort_values("ord")
+        veh = rows[rows["kind"].isin(VEHICLES)].sort_values("ord")
         size = np.sqrt(np.maximum(veh["x2"] - veh["x1"], 1.0) * np.maximum(veh["y2"] - veh["y1"], 1.0))
         self.ring = ([*self.ring[0], *veh["y2"]][-online.RING :], [*self.ring[1], *size][-online.RING :])
         if pos % online.REFIT or not len(rows) or len(self.ring[0]) < online.LEAST_BOXES:
@@ -245,7 +245,7 @@ class Quantities(StatefulProcessor):
     def _observe(self, r: object, t: int, pos: int) -> None:
         k, s = int(r.track_id), self.now.get(int(r.track_id))
         if s is None or s["life"] != r.life:
-            s = {"t": t, "life": int(r.life), "cls": 0, "x1": 0.0, "y1": 0.0, "x2": 0.0, "y2": 0.0, "x": 0.0, "y": 0.0, "vx": 0.0, "vy": 0.0, "ht": [], "hs": [], "hh": [], "n_hist": 0, "mconf": 0.0, "first_us": int(r.first_us), "edge": False, "still": -1, "queued": False, "seen": ""}
+            s = {"t": t, "life": int(r.life), "kind": 0, "x1": 0.0, "y1": 0.0, "x2": 0.0, "y2": 0.0, "x": 0.0, "y": 0.0, "vx": 0.0, "vy": 0.0, "ht": [], "hs": [], "hh": [], "n_hist": 0, "mconf": 0.0, "first_us": int(r.first_us), "edge": False, "still": -1, "queued": False, "seen": ""}
         if pd.notna(r.gx):
             size = float(self._size_at(r.y))
             s["vx"], s["vy"] = r.gx / size, r.gy / size
@@ -254,10 +254,10 @@ class Quantities(StatefulProcessor):
         yes = lambda x: bool(x) if pd.notna(x) else None
         num = lambda x: float(x) if pd.notna(x) else None
         seen = {"road": yes(r.drawn_road), "off": yes(r.off_road), "has_cw": yes(r.has_cw), "in_cw": yes(r.in_cw), "cw": num(r.cw_px), "lanes": yes(r.has_lanes), "lx": num(r.lane_x), "ly": num(r.lane_y), "ahead": json.loads(r.ahead or "[]")}
-        s |= {"t": t, "cls": int(r.cls), "x1": r.x1, "y1": r.y1, "x2": r.x2, "y2": r.y2, "x": r.ax, "y": r.y, "mconf": r.mconf, "edge": bool(r.edge), "seen": json.dumps(seen)}
+        s |= {"t": t, "kind": int(r.kind), "x1": r.x1, "y1": r.y1, "x2": r.x2, "y2": r.y2, "x": r.ax, "y": r.y, "mconf": r.mconf, "edge": bool(r.edge), "seen": json.dumps(seen)}
         self.now[k] = s
         self.fresh[0].add(k)
-        if s["cls"] not in VEHICLES or s["edge"]:
+        if s["kind"] not in VEHICLES or s["edge"]:
             return
         c, speed = self._cell(s["x"], s["y"]), float(np.hypot(s["vx"], s["vy"]))
         g = self._at(c)
@@ -330,7 +330,7 @@ class Quantities(StatefulProcessor):
         col = lambda c: np.array([s[c] for _, s in keep], float)
         x, y, vx, vy = (col(c) for c in ("x", "y", "vx", "vy"))
         size, speed = self._size_at(y), np.hypot(vx, vy)
-        veh, ped, queue = np.isin(col("cls"), VEHICLES), col("cls") == PERSON, np.array([self._learned(s, pos, 3) for _, s in keep])
+        veh, ped, queue = np.isin(col("kind"), VEHICLES), col("kind") == PERSON, np.array([self._learned(s, pos, 3) for _, s in keep])
         i, j = np.triu_indices(len(keep), 1)
         dx, dy = x[j] - x[i], y[j] - y[i]
         dist, slow = np.hypot(dx, dy), np.minimum(speed[i], speed[j]) < p["queue_leader_speed"]
@@ -377,7 +377,7 @@ class Quantities(StatefulProcessor):
     def _walkers(self, keep: list[tuple[int, dict]], pos: int) -> bool:
         """A person on the road and off the crosswalks."""
         reach = 0.5 * float(np.median([self._size_at(s["y"]) for _, s in keep]))
-        for s in (s for _, s in keep if s["cls"] == PERSON):
+        for s in (s for _, s in keep if s["kind"] == PERSON):
             seen = json.loads(s["seen"])
             road = (seen["road"] if seen["road"] is not None else self._learned(s, pos, 2)) and not seen["off"]
             if road and not (seen["has_cw"] and (seen["in_cw"] or (seen["cw"] is not None and seen["cw"] <= reach))):

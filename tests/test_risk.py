@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from worlds import HEIGHT, ROAD, WIDTH, Mover, World, base_tables
+from worlds import HEIGHT, ROAD, WIDTH, Mover, World, arc, base_tables
 
 from curbstream.operators.metrics import alarm_starts
 from curbstream.plans import risk
@@ -68,7 +68,7 @@ FREE = World([Mover((1500, 520), [(9.5, -140, 0)]), Mover((1450, 700), [(9.5, -1
 #: Cars that stop and go over drawn shapes, people, a red light, a car against the lane, a car that comes back too late to be itself.
 BUSY = World(
     [Mover((1500, 500 + 45 * i), [(3, -180 - 15 * i, 0), (4, 0, 0), (5, -90, 5)], begin=0.4 * i) for i in range(6)]
-    + [Mover((300, 620), [(11, 130, 0)], begin=1), Mover((1200, 380), [(8, -120, 0)], begin=3), Mover((900, 360), [(9, 2, 40)], 0, 2), Mover((700, 700), [(9, -20, -25)], 0, 1.5), Mover((1500, 640), [(2.5, -250, 0)], begin=9)],
+    + [Mover((420, 780), arc(190, 1, 1, 3.5), begin=4), Mover((1500, 820), [(6, -250, 0)], begin=5), Mover((560, 840), [(5, 0, -12)], 0, 4), Mover((300, 620), [(11, 130, 0)], begin=1), Mover((1200, 380), [(8, -120, 0)], begin=3), Mover((900, 360), [(9, 2, 40)], 0, 2), Mover((700, 700), [(9, -20, -25)], 0, 1.5), Mover((1500, 640), [(2.5, -250, 0)], begin=9)],
     12, 25.0, {"lanes": [{"id": "w", "polygon": [[0, 340], [1600, 340], [1600, 860], [0, 860]], "direction": [-1, 0]}], "stop_lines": [{"id": "A", "points": [[900, 340], [900, 860]], "signal": "g", "approach": [-1, 0]}], "crosswalks": [[[640, 340], [740, 340], [740, 860], [640, 860]]]},
     [("g", 0, 5, "red"), ("g", 5, 7, "unknown"), ("g", 7, 9, "green"), ("g", 9, 12, "red")],
 )
@@ -133,7 +133,7 @@ def test_quantities_look_back_only(spark, traffic, batch):
     assert len(first) > 200 and max(k[1] for k in first) < max(k[1] for k in whole)
     same(first, {k: v for k, v in whole.items() if k in first})
     seen = [sum(bool(v[i]) for v in whole.values()) for i in range(8)]
-    assert all(seen), seen
+    assert all(seen), list(zip(live.RAW_SCHEMA.split(", ")[3:], seen))
 
 
 def track_stream(traffic):
