@@ -11,11 +11,11 @@ on and its state goes. Tracks go two seconds after they were last seen, pairs af
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -412,7 +412,7 @@ class Estimated(StatefulProcessor):
         d = pd.concat(list(rows), ignore_index=True).sort_values("t_us", kind="stable")
         if self.state.exists():
             body, upto = self.state.get()
-            est = pickle.loads(bytes(body))
+            est = cloudpickle.loads(bytes(body))
         else:
             est, upto = self.make(), -(1 << 62)
             est.reset({"video_id": key[0]})
@@ -421,7 +421,7 @@ class Estimated(StatefulProcessor):
         if self.last is not None and d[self.last].any():
             self.state.clear()
         else:
-            self.state.update((pickle.dumps(est), max(upto, int(d["t_us"].max())) if len(d) else upto))
+            self.state.update((cloudpickle.dumps(est), max(upto, int(d["t_us"].max())) if len(d) else upto))
         yield pd.DataFrame(out, columns=["video_id", "frame", "t_us", "score"])
 
 

@@ -172,19 +172,18 @@ def test_stream_from_tracks_like_batch(spark, traffic, batch, tmp_path):
         assert left.count() == 0
 
 
-class Toy:
-    """Counts the rows it was given and adds a quantity up."""
-
-    def reset(self, meta):
-        self.n, self.total = 0, float(meta["video_id"])
+def test_estimator_of_a_user(spark, frames, tmp_path):
+    from curbstream.streaming import live as lv
 
-    def step(self, row):
-        self.n, self.total = self.n + 1, self.total + row["decel"]
-        return self.total / self.n
+    class Toy:
+        """Counts the rows it was given and adds a quantity up. Tasks cannot import this module, so the class is sent to them."""
 
+        def reset(self, meta):
+            self.n, self.total = 0, float(meta["video_id"])
 
-def test_estimator_of_a_user(spark, frames, tmp_path):
-    from curbstream.streaming import live as lv
+        def step(self, row):
+            self.n, self.total = self.n + 1, self.total + row["decel"]
+            return self.total / self.n
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", lv.STATE_STORE)
     raw = to_spark(spark, frames)
