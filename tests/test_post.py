@@ -112,3 +112,21 @@ def test_staging_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         session.staging_root(type("S", (), {"conf": Conf()})())
+
+
+def test_best_values_and_offsets(spark):
+    """A gate that drops the wrong half wins, offsets are kept where they help, a class that is mostly wrong goes off."""
+    from curbstream.plans import tuning
+
+    gt = [(v, "accident", 10_000_000 + k * 40_000_000, 20_000_000 + k * 40_000_000, v * 10 + k) for v in range(4) for k in range(3)] + [(0, "jaywalking", 0, 1_000_000, 99)]
+    seg = [(v, lab, s - 4_000_000, e - 3_000_000, 0.9) for v, lab, s, e, _ in gt if lab == "accident"] + [(v, "accident", 25_000_000, 29_000_000, 0.6) for v in range(4)] + [(v, "jaywalking", 50_000_000, 60_000_000, 0.9) for v in range(3)]
+    cols = "video_id bigint, label string, start_us bigint, end_us bigint, "
+    g, s = spark.createDataFrame(gt, cols + "gt_id bigint"), spark.createDataFrame(seg, cols + "confidence double")
+    durations = spark.createDataFrame([(v, 200.0) for v in range(4)], "video_id bigint, duration double")
+    events = {k: {"min_confidence": 0.5, "merge_gap": 1.0, "min_len": 0.5} for k in ("accident", "jaywalking", "wrong_way")}
+    grid = tuning.post_grid(spark, events, {"accident": {"min_confidence": [0.7, 0.95]}, "jaywalking": {"merge_gap": [0.0]}, "wrong_way": {"min_len": [9.0]}})
+    best = {r.label: r for r in tuning.best_params(s, g, durations, grid).collect()}
+    a, j, w = best["accident"], best["jaywalking"], best["wrong_way"]
+    assert (a.param_id, a.min_confidence, a.moved, a.start_offset, a.end_offset, a.f1_after, a.precision, a.enabled) == (1, 0.7, True, 4.0, 3.0, 1.0, 1.0, True) and a.f1_before < 0.7
+    assert (j.param_id, j.moved, j.n_pred, j.n_gt, j.enabled) == (0, False, 3, 1, False)
+    assert (w.param_id, w.n_pred, w.n_gt, w.f1_after, w.enabled) == (0, 0, 0, 0.0, True)
