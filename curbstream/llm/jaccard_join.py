@@ -8,7 +8,7 @@ component, so copies are not expanded into pairs, and no link between different
 2. Similar classes are partitioned into groups: classes that share a MinHash key are verified against the key's smallest
    class, and verified links make the groups. A class that misses its group is a group by itself.
 3. Which groups can hold a partner: a set and a partner share one of the set's ``|A| - ceil(p |A|) + 1`` first tokens in any
-   fixed order. Tokens in many documents come last in the order (counted over all documents), so common passages seldom
+   fixed order, and the smaller set one of its ``|A| - ceil(2p / (1 + p) |A|) + 1`` first ("early"). Tokens in many documents come last in the order (counted over all documents), so common passages seldom
    bring groups together. Tokens travel as packed blocks by hash range.
 4. Each group's token union is a row of the matrix, as a bitmap of a fixed size. A query's bits that are not in the row are
    tokens the group lacks; it is opened against the group only if what is left can reach ``percent`` of its size. A full
@@ -36,7 +36,7 @@ KEYS, PER_KEY = 8, 3
 #: Tokens in at least HEAVY documents come late in the order; at most MOST_HEAVY of them, the most frequent, are told to tasks.
 HEAVY, MOST_HEAVY = 8, 1 << 20
 MATRIX_BITS, PIVOTS = 1 << 12, 7
-_FLUSH = 2_000_000
+_FLUSH = 500_000
 
 
 def distinct_shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -209,23 +209,23 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def shared_prefix_tokens(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, s1): prefix tokens that classes (s1) of different sets share."""
+    """(token, s1, early): prefix tokens that classes (s1) of different sets share; ``early`` ones lie in the shorter prefix of the smaller set."""
     bits = _blocks(shuffle_width(rows.sparkSession))
     shift = np.uint64(64 - bits - 32)
     heavy, weight = heavy_tokens(rows)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            v, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            v, s, e = (np.concatenate(x) for x in zip(*held, strict=True))
             block = (v >> np.uint64(32)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            v, s, block = (v[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), s[order], block[order]
+            v, s, e, block = (v[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), s[order], e[order], block[order]
             at = np.searchsorted(block, np.arange((1 << bits) + 1))
             some = [i for i in range(1 << bits) if at[i] < at[i + 1]]
-            return record(["block", "tokens", "classes"], pa.array(some, pa.int32()), pa.array([v[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), pa.array([s[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()))
+            return record(["block", "tokens", "classes", "early"], pa.array(some, pa.int32()), *(pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for x in (v, s, e)))
 
         for b in batches:
             for _, g, begin in _sets(b.column("text")):
@@ -241,7 +241,8 @@ def shared_prefix_tokens(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                 order = np.lexsort((rank, doc)) if rank.any() else np.arange(len(v))
                 place = np.arange(len(v)) - np.repeat(begin, n)
                 take = place < np.repeat(n - -(-percent * n // 100) + 1, n)
-                held.append((v[order][take], s1[doc[take]]))
+                early = place < np.repeat(n - -(-2 * percent * n // (100 + percent)) + 1, n)
+                held.append((v[order][take], s1[doc[take]], early[take].astype(np.uint8)))
                 size += int(take.sum())
                 if size > _FLUSH:
                     yield flush()
@@ -253,17 +254,20 @@ def shared_prefix_tokens(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         for block, group in _grouped(batches, "block"):
             v = np.concatenate([np.frombuffer(x, np.uint32) for r in group for x in r.column("tokens").to_pylist()])
             s = np.concatenate([np.frombuffer(x, np.uint64) for r in group for x in r.column("classes").to_pylist()])
-            order = np.lexsort((s, v))
-            v, s = v[order], s[order]
+            e = np.concatenate([np.frombuffer(x, np.uint8) for r in group for x in r.column("early").to_pylist()])
+            order = np.lexsort((1 - e, s, v))  # of a class's equal tokens an early one stays
+            v, s, e = v[order], s[order], e[order]
             new = np.ones(len(v), bool)
             new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1])
-            v, s = v[new], s[new]
-            same = v[1:] == v[:-1]
-            two = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            yield record(["token", "s1"], pa.array((np.int64(block) << 32) + v[two].astype(np.int64)), pa.array(s[two].view(np.int64)))
+            v, s, e = v[new], s[new], e[new]
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(v)))
+            # Two classes at least, and one of them early.
+            two = np.repeat((size > 1) & (np.maximum.reduceat(e, first) > 0), size) if len(v) else np.zeros(0, bool)
+            yield record(["token", "s1", "early"], pa.array((np.int64(block) << 32) + v[two].astype(np.int64)), pa.array(s[two].view(np.int64)), pa.array(e[two] > 0))
 
-    packed = rows.select("text").mapInArrow(prefixes, "block int, tokens binary, classes binary")
-    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "token bigint, s1 bigint")
+    packed = rows.select("text").mapInArrow(prefixes, "block int, tokens binary, classes binary, early binary")
+    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "token bigint, s1 bigint, early boolean")
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,12 +345,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "d
     members = stage(members, "jaccard-members")
 
     shared = stage(shared_prefix_tokens(with_id, percent), "jaccard-shared")
-    posts = shared.join(members, "s1").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    soon = F.when(F.col("early"), F.col("n"))
+    posts = shared.join(members, "s1").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(soon).alias("lo_early"), F.max(soon).alias("hi_early"))
     ends = posts.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("token")
     posts = stage(posts.join(ends, "token", "left_semi"), "jaccard-posts")
-    p, q = posts.alias("p"), posts.alias("q")
-    fits = (F.col("p.g") < F.col("q.g")) & (100 * F.col("p.hi") >= percent * F.col("q.lo")) & (100 * F.col("q.hi") >= percent * F.col("p.lo"))
-    open_ = stage(p.join(q, "token").where(fits).select(F.col("p.g").alias("g"), F.col("q.g").alias("other")).distinct(), "jaccard-open")
+    # The smaller set of a pair has a shared token early, so only groups with such a token ask.
+    p, q = posts.where("lo_early IS NOT NULL").alias("p"), posts.alias("q")
+    fits = (F.col("p.token") == F.col("q.token")) & (F.col("p.g") != F.col("q.g")) & (100 * F.col("p.hi_early") >= percent * F.col("q.lo")) & (F.col("q.hi") >= F.col("p.lo_early"))
+    open_ = stage(p.join(q, fits).select(F.least("p.g", "q.g").alias("g"), F.greatest("p.g", "q.g").alias("other")).distinct(), "jaccard-open")
 
     # The members of the smaller group ask the row of the larger one: a large group never asks for each of its small neighbours.
     pivot = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"] for i in range(PIVOTS)]
