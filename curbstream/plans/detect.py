@@ -1,6 +1,8 @@
 """From tables to final events."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,11 @@ def signal_timeline(samples: DataFrame, smooth_sec: float = 1.0, chunk_us: int =
     return out.select(*key, "t0_us", "t1_us", "state")
 
 
-def detect(x, events: dict | None = None, labels: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def detect(x, events: dict | None = None, labels: list[str] | None = None, run: Callable[[str], DataFrame] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Segments of all enabled rules, and the error text of rules that failed.
 
-    Each rule is written on its own, so one that fails takes no other with it.
+    Each rule is written on its own, so one that fails takes no other with it. ``run`` gives a rule's staged segments
+    where they are kept elsewhere.
     """
     from curbstream.plans import conflicts  # noqa: F401  registers its rules
     from curbstream.plans.params import CLASSES, EVENTS
@@ -52,7 +55,7 @@ def detect(x, events: dict | None = None, labels: list[str] | None = None) -> tu
         if not events[label].get("enabled", True):
             continue
         try:
-            s = stage(RULES[label](x, events[label]), f"segments_{label}")
+            s = run(label) if run else stage(RULES[label](x, events[label]), f"segments_{label}")
         except Exception as e:  # the rule is left out and reported
             errors[label] = str(e)
             continue
@@ -63,8 +66,9 @@ def detect(x, events: dict | None = None, labels: list[str] | None = None) -> tu
 
 
 def final_events(segments: DataFrame, videos: DataFrame, events: dict | None = None) -> DataFrame:
+    """Final events of all videos, in the order of video, start, end and label."""
     from curbstream.operators.post import postprocess, suppress_near_misses
     from curbstream.plans.params import EVENTS
 
     events = events or EVENTS
-    return postprocess(suppress_near_misses(segments, events), videos, events)
+    return postprocess(suppress_near_misses(segments, events), videos, events).orderBy("video_id", "start", "end", "label")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from curbstream.operators.ordered import DAY_US, Scan, ordered_scan, row_blocks, with_chunk
 from curbstream.operators.quantiles import exact_quantiles
 from curbstream.operators.series import number_rows
+from curbstream.operators.tracks import attach
 
 
 def phase_stats(phases: DataFrame, keys: Sequence[str], chunk_us: int = DAY_US) -> DataFrame:
@@ -91,3 +92,20 @@ def class_examples(events: DataFrame, reviews: DataFrame, bucket_us: int = DAY_U
     rank = F.struct("verified", F.least(F.col("end_us") - F.col("start_us"), F.lit(10_000_000)), -F.col("video_id"), -F.col("start_us"), -F.col("end_us"))
     g = e.groupBy("label").agg(F.max_by(F.struct("video_id", "start_us", "end_us", "verified"), rank).alias("b"), F.count(F.lit(1)).alias("n"))
     return g.select("label", "b.*", "n")
+
+
+def thin_curve(curve: DataFrame, keys: Sequence[str], t_us: str, ties: Sequence[str] = (), every: int | None = None, most: int = 1500, chunk_us: int = DAY_US) -> DataFrame:
+    """Every n-th sample of each curve from its first one on; without ``every``, so that about ``most`` remain."""
+    d = ordered_scan(with_chunk(curve, t_us, chunk_us, "__c"), keys, "__c", [t_us, *ties], [Scan("count", t_us, "__rn")])
+    if every is not None:
+        d = d.withColumn("__step", F.lit(every))
+    else:
+        n = curve.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / most)).alias("__step"))
+        d = attach(d, keys, "__c", n)
+    return d.filter(F.pmod(F.col("__rn") - 1, F.col("__step")) == 0).select(*curve.columns)
+
+
+def labelled_clips(labels: DataFrame, normal: DataFrame, key: str = "video_id") -> DataFrame:
+    """Labelled clips and clips known to be without events, which have the columns they lack as null; a labelled clip stays as it is."""
+    quiet = normal.join(labels.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    return labels.unionByName(quiet, allowMissingColumns=True)

@@ -11,8 +11,10 @@ from curbstream.operators.intervals import overlap_join
 from curbstream.operators.ordered import DAY_US, Scan, ordered_scan, runs, time_halo, with_chunk
 from curbstream.operators.quantiles import exact_quantiles
 from curbstream.plans.params import sec
+from curbstream.session import stage
 
 CHUNK = 3_600_000_000
+LEAST_PICTURES = 20
 
 
 def flicker_runs(thumbs: DataFrame, p: Mapping, keys: tuple = ("video_id",)) -> DataFrame:
@@ -34,8 +36,13 @@ def static_cells(thumbs: DataFrame, p: Mapping) -> DataFrame:
 
 
 def static_blobs(x, p: Mapping) -> DataFrame:
-    """Foreground that stays in place on the road and that no tracked box explains."""
-    size = x.thumbs.groupBy("video_id").agg((F.max("py") + 1).alias("gh"), (F.max("px") + 1).alias("gw"))
+    """Foreground that stays in place on the road and that no tracked box explains: ``video_id, start_us, end_us``.
+
+    Only ``video_id, t_us, py, px, gray`` of the pictures are read. A cell's background comes from its own past, a picture's
+    regions from its foreground cells alone, so no task holds a picture of all times. Videos with fewer than 20 pictures have none.
+    """
+    size = x.thumbs.groupBy("video_id").agg((F.max("py") + 1).alias("gh"), (F.max("px") + 1).alias("gw"), F.count_distinct("t_us").alias("pictures")).filter(F.col("pictures") >= LEAST_PICTURES)
+    size = stage(size.drop("pictures"), "picture_sizes")
     vid = x.videos.select("video_id", "width", "height").join(size, "video_id")
     fg = static_cells(x.thumbs, p).join(size, "video_id")
     fg = fg.withColumnsRenamed({"py": "iy", "px": "ix"})
@@ -58,7 +65,7 @@ def static_blobs(x, p: Mapping) -> DataFrame:
     ts = x.thumbs.select("video_id", "t_us").distinct()
     ts = ordered_scan(with_chunk(ts, "t_us", DAY_US), ["video_id"], "chunk", ["t_us"], [Scan("count", "t_us", "k"), Scan("lag", "t_us", "__p")])
     step = exact_quantiles(ts.filter("__p IS NOT NULL").withColumn("dt", F.col("t_us") - F.col("__p")), ["video_id"], "dt", {"step": 0.5}, 1e5).drop("n")
-    hold = step.select("video_id", F.greatest(F.lit(2), F.bround(F.lit(sec(p["blob_min_sec"])) / F.col("step"))).cast("bigint").alias("hold"))
+    hold = step.select("video_id", F.greatest(F.lit(2), F.bround(F.lit(sec(p["blob_min_sec"])) / F.greatest("step", F.lit(1_000)))).cast("bigint").alias("hold"))
     cell = ["video_id", "py", "px"]
     f = fg.join(ts.select("video_id", "t_us", "k"), ["video_id", "t_us"]).withColumn("chunk", F.floor(F.col("k") / 3600))
     f = ordered_scan(f, cell, "chunk", ["k"], [Scan("lag", "k", "__pk")]).withColumn("first", F.when(F.col("__pk") == F.col("k") - 1, None).otherwise(F.col("k")))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from curbstream.operators import scene as sc
 from curbstream.plans import conflicts, detect, risk, rules, tuning
-from curbstream.plans.params import CLASSES, EVENTS, RISK, RISK_WEIGHTS
+from curbstream.plans.params import EVENTS, RISK, RISK_WEIGHTS
 from curbstream.queries import track_sql as q
 from curbstream.queries.metric_queries import BUCKET, CURVE, timeline
-from curbstream.queries.online_queries import quantities
+from curbstream.queries.online_queries import RISK_SQL, quantities
 from curbstream.queries.registry import query
 from curbstream.queries.scene_queries import scene_of
 from curbstream.queries.series_queries import T0
@@ -91,8 +91,31 @@ SOLID = f"""WITH {q.TRACKS}, v AS (SELECT *, y2 - 0.35e0 * (y2 - y1) AS top, row
     FROM ru JOIN v USING (video_id, track_id) WHERE t_us BETWEEN s - 6000000 AND e + 6000000 GROUP BY ALL)
   SELECT video_id, 'solid_line_crossing' AS label, s AS start_us, e AS end_us, 0.7e0 AS confidence, CAST(track_id AS VARCHAR) AS tracks FROM a WHERE s0 = s1 AND held >= 1000000 AND sb * s0 < 0"""
 
+STOP_LINE = f"""WITH {q.TRACKS}, {LINE_D},
+  b AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY t_us) AS rn, d BETWEEN 0.4e0 AND 3e0 AND al >= -0.3e0 * ext AND al <= 1 + 0.3e0 * ext AND speed < 0.1e0 AS bad FROM red),
+  i AS (SELECT *, rn - row_number() OVER (PARTITION BY video_id, track_id ORDER BY rn) AS isl FROM b WHERE bad),
+  ru AS (SELECT video_id, track_id, min(t_us) AS s, max(t_us) AS e, avg(CASE WHEN sig = 'red' THEN 1e0 ELSE 0e0 END) AS red FROM i GROUP BY video_id, track_id, isl HAVING max(t_us) - min(t_us) >= 2000000),
+  g AS (SELECT *, least(e, coalesce((SELECT min(t0) FROM (SELECT CAST(ceil((2 * k + 1) * 7000000 / 80000e0) AS BIGINT) * 80000 AS t0 FROM (SELECT unnest(range(0, 2)) AS k)) WHERE t0 > s AND t0 < 20000000), e)) AS e2 FROM ru
+    WHERE red >= 0.5e0 AND EXISTS (SELECT 1 FROM red r WHERE r.video_id = ru.video_id AND r.track_id = ru.track_id AND r.d < -0.3e0))
+  SELECT video_id, 'stop_line' AS label, s AS start_us, e2 AS end_us, 0.7e0 AS confidence, CAST(track_id AS VARCHAR) AS tracks FROM g WHERE e2 > s"""
+
+JAYWALKING = f"""WITH {q.TRACKS}, p0 AS (SELECT *, {q.SCALE.format(y='foot_y')} AS bl FROM tracks WHERE reliable AND cls = 0 AND NOT rider AND track_size >= {0.03 * fx.HEIGHT}e0 AND NOT edge),
+  pm AS (SELECT video_id, quantile_cont(bl, 0.5) AS med FROM p0 GROUP BY 1),
+  p1 AS (SELECT p0.*, med, foot_x >= 0 AND foot_x < 1280 AND foot_y >= 250 AND foot_y < 600 AS inside, least(foot_x, 1280 - foot_x, foot_y - 250, 600 - foot_y) / bl AS dep,
+    greatest(590 - foot_x, foot_x - 690, 0e0) AS gx, greatest(240 - foot_y, foot_y - 610, 0e0) AS gy FROM p0 JOIN pm USING (video_id)),
+  p2 AS (SELECT *, CASE WHEN inside THEN dep ELSE 0e0 END AS depth, inside AND dep >= 0.5e0 AND speed <= 3e0 AND sqrt(gx * gx + gy * gy) > 0.6e0 * med AS cand FROM p1),
+  vv AS (SELECT video_id, frame, x1, y1, x2, y2, speed FROM tracks WHERE {VEHICLES}),
+  hid AS (SELECT DISTINCT p2.video_id, p2.track_id, p2.frame FROM p2 JOIN vv ON vv.video_id = p2.video_id AND vv.frame = p2.frame AND ((foot_x BETWEEN vv.x1 AND vv.x2 AND foot_y BETWEEN vv.y1 AND vv.y2)
+    OR (vv.speed < 0.2e0 AND foot_x BETWEEN vv.x1 - 2 * bl AND vv.x2 + 2 * bl AND foot_y BETWEEN vv.y1 - 2 * bl AND vv.y2 + 2 * bl)) WHERE cand),
+  p3 AS (SELECT p2.*, cand AND hid.track_id IS NULL AS ok, row_number() OVER (PARTITION BY p2.video_id, p2.track_id ORDER BY t_us) AS rn FROM p2 LEFT JOIN hid USING (video_id, track_id, frame)),
+  i0 AS (SELECT *, lag(rn) OVER w AS pr, lag(t_us) OVER w AS pt FROM p3 WHERE ok WINDOW w AS (PARTITION BY video_id, track_id ORDER BY rn)),
+  i1 AS (SELECT *, sum(CASE WHEN rn = pr + 1 OR t_us - pt <= 2000000 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id, track_id ORDER BY rn) AS isl FROM i0),
+  ru AS (SELECT video_id, track_id, min(t_us) AS s, max(t_us) AS e, arg_min(foot_x, t_us) AS x0, arg_min(foot_y, t_us) AS y0 FROM i1 GROUP BY video_id, track_id, isl HAVING max(t_us) - min(t_us) >= 1500000),
+  g AS (SELECT ru.*, max(depth) AS deep, max(sqrt((foot_x - x0) * (foot_x - x0) + (foot_y - y0) * (foot_y - y0))) AS reach, quantile_cont(bl, 0.5) AS b FROM ru JOIN p3 USING (video_id, track_id) WHERE t_us BETWEEN s AND e GROUP BY ALL)
+  SELECT video_id, 'jaywalking' AS label, s AS start_us, e AS end_us, 0.8e0 AS confidence, CAST(track_id AS VARCHAR) AS tracks FROM g WHERE deep >= 1e0 AND reach / b >= 1.5e0"""
+
 for _label, _sql in (
-    ("wrong_way", WRONG), ("congestion", None), ("stopped_vehicle", None), ("jaywalking", None), ("road_obstacle", None), ("red_light", RED), ("stop_line", None), ("solid_line_crossing", SOLID),
+    ("wrong_way", WRONG), ("congestion", None), ("stopped_vehicle", None), ("jaywalking", JAYWALKING), ("road_obstacle", None), ("red_light", RED), ("stop_line", STOP_LINE), ("solid_line_crossing", SOLID),
     ("failure_to_yield", None), ("illegal_u_turn", None), ("illegal_turn", None), ("near_miss", None), ("accident", None),
 ):
     _rule(_label, _sql)
@@ -139,12 +162,10 @@ def q_turns(spark, folder):
 
 
 def segments_of(spark, folder) -> DataFrame:
-    u = None
-    for label in CLASSES:
-        if EVENTS[label]["enabled"]:
-            d = rule_segments(spark, folder, label)
-            u = d if u is None else u.unionByName(d)
-    return u
+    segments, errors = detect.detect(inputs(spark, folder), run=lambda label: rule_segments(spark, folder, label))
+    if errors:
+        raise RuntimeError(f"rules failed: {errors}")
+    return segments
 
 
 @query("final_events")
@@ -173,7 +194,7 @@ def risk_of(spark, folder) -> DataFrame:
     return _RISK[key]
 
 
-@query("risk_scores")
+@query("risk_scores", RISK_SQL)
 def q_risk(spark, folder):
     return r(risk_of(spark, folder), 5, "score")
 

@@ -245,3 +245,31 @@ def q_warp(spark, folder):
 @query("time_labels", "SELECT o_orderkey, format('{}:{:04.1f}', CAST(floor(sqrt(o_totalprice) / 60) AS BIGINT), sqrt(o_totalprice) - 60 * floor(sqrt(o_totalprice) / 60)) AS at, replace(lower(o_orderpriority), '_', ' ') AS label FROM orders")
 def q_mmss(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", geo.mmss(F.sqrt("o_totalprice")).alias("at"), geo.pretty_label(F.lower("o_orderpriority")).alias("label"))
+
+
+# One drawn scene per camera: a document a nation, half of them in pixels, some without crosswalks.
+SIZES = ["*", "CASE WHEN n_nationkey % 2 = 0 THEN '1' ELSE '1000' END AS w", "CASE WHEN n_nationkey % 2 = 0 THEN '1' ELSE '500' END AS h",
+         "CASE WHEN n_nationkey % 2 = 0 THEN concat('0.', CAST(1 + n_nationkey % 9 AS STRING)) ELSE CAST(50 * (1 + n_nationkey % 9) AS STRING) END AS y"]
+DOCS = """concat('{"normalized": ', CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false, "image_size": [1000, 500]' END,
+  ', "carriageway": [[[0, ', y, '], [', w, ', ', y, '], [', w, ', ', h, '], [0, ', h, ']]]', CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE concat(', "crosswalks": [{"polygon": [[0, 0], [', w, ', 0], [0, ', h, ']], "signal": "p', n_nationkey, '"}, [[0, 0], [0, ', h, '], [', w, ', ', h, ']]]') END,
+  ', "lanes": [{"id": "L', n_regionkey, '", "polygon": [[0, 0], [', w, ', 0], [', w, ', ', y, ']], "direction": [', w, ', 0]}], "stop_lines": [{"points": [[0, 0], [', w, ', ', h, ']], "signal": "main", "approach": [0, ', h, ']}], "signal_rois": [{"id": "main", "rect": [0, 0, ', w, ', ', y, ']}]}') AS json"""
+
+
+@query(
+    "camera_scenes",
+    """WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS video_id, n_nationkey, n_regionkey, (1 + n_nationkey % 9) / 10e0 AS y FROM nation)
+    SELECT video_id, 'carriageway' AS kind, 0 AS ord, '0' AS id, NULL AS signal, 4 AS n_pts, 400e0 AS x, round(400 * (2 * y + 2) / 4, 6) AS y, NULL AS dir_x, NULL AS dir_y FROM n
+    UNION ALL SELECT video_id, 'crosswalks', 0, '0', 'p' || n_nationkey, 3, round(800 / 3e0, 6), round(400 / 3e0, 6), NULL, NULL FROM n WHERE n_nationkey % 3 <> 0
+    UNION ALL SELECT video_id, 'crosswalks', 1, '1', NULL, 3, round(800 / 3e0, 6), round(800 / 3e0, 6), NULL, NULL FROM n WHERE n_nationkey % 3 <> 0
+    UNION ALL SELECT video_id, 'lanes', 0, 'L' || n_regionkey, NULL, 3, round(1600 / 3e0, 6), round(400 * y / 3, 6), 1e0, 0e0 FROM n
+    UNION ALL SELECT video_id, 'stop_lines', 0, '0', 'main', 2, 400e0, 200e0, 0e0, 1e0 FROM n
+    UNION ALL SELECT video_id, 'signal_rois', 0, 'main', 'vehicle', 4, 400e0, round(200 * y, 6), NULL, NULL FROM n""",
+)
+def q_cameras(spark, folder):
+    from curbstream.sources import scenes
+
+    docs = table(spark, folder, "nation").selectExpr(*SIZES).selectExpr("CAST(n_nationkey AS STRING) AS camera", DOCS)
+    videos = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("video_id"), F.col("n_nationkey").cast("string").alias("camera"), F.lit(800).alias("width"), F.lit(400).alias("height"))
+    d = scenes.shapes_of_cameras(scenes.camera_shapes(docs), videos)
+    mean = lambda a: F.round(F.aggregate("pts", F.lit(0.0), lambda s, p: s + p[a]) / F.size("pts"), 6)
+    return d.select("video_id", "kind", "ord", "id", "signal", F.size("pts").alias("n_pts"), mean("x").alias("x"), mean("y").alias("y"), F.round("dir.x", 6).alias("dir_x"), F.round("dir.y", 6).alias("dir_y"))

@@ -131,3 +131,8 @@ def write_predictions(rows: DataFrame, path: str, team: str, names: DataFrame |
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     schema = "reviewed ARRAY<STRUCT<video: STRING, t: DOUBLE, label: STRING, verdict: STRING, note: STRING>>"
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("reviewed").alias("r")).select("r.*")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A result table as JSON lines, nulls included, for pages that show it."""
+    rows.write.option("ignoreNullFields", "false").json(path)
