@@ -5,14 +5,15 @@ nothing), A-Z lower-cased. Two documents link when 100 |A and B| >= percent |A o
 component, so copies are not expanded into pairs, and no link between different texts is lost.
 
 1. Documents with equal sets become one class, by two 64-bit sums and the size.
-2. Similar classes are partitioned into groups: classes that share a MinHash key are verified against the key's smallest
-   class, and verified links make the groups. A class that misses its group is a group by itself.
+2. Similar classes are partitioned into groups: classes that share a MinHash key are verified against that class of the
+   key which shares its keys with most others, and verified links make the groups. A class that misses its group is a group by itself.
 3. Which groups can hold a partner: a set and a partner share one of the set's ``|A| - ceil(p |A|) + 1`` first tokens in any
    fixed order, and the smaller set one of its ``|A| - ceil(2p / (1 + p) |A|) + 1`` first ("early"). Tokens in many documents come last in the order (counted over all documents), so common passages seldom
    bring groups together. Tokens travel as packed blocks by hash range.
-4. Each group's token union is a row of the matrix, as a bitmap of a fixed size. A query's bits that are not in the row are
-   tokens the group lacks; it is opened against the group only if what is left can reach ``percent`` of its size. A full
-   bitmap prunes less and loses nothing. Only bitmaps travel here; tokens are read for opened groups alone.
+4. Each group's token union is a row of the matrix: places out of 2^16, as a list or, from 4096 places on, as a bitmap. A
+   query's places that are not in the row are tokens the group lacks; it is opened against the group only if what is left
+   can be the overlap with its smallest member. A full row prunes less and loses nothing. Only places travel here; tokens
+   are read for opened groups alone.
 5. Opened pairs are verified: first against a few members of the group, then, for groups still apart, all that remain.
 
 Null ids are not linked (component_id null). Rows that repeat an id count as one document. An empty table gives an empty
@@ -35,8 +36,9 @@ SHINGLE, PERCENT = 5, 80
 KEYS, PER_KEY = 8, 3
 #: Tokens in at least HEAVY documents come late in the order; at most MOST_HEAVY of them, the most frequent, are told to tasks.
 HEAVY, MOST_HEAVY = 8, 1 << 20
-MATRIX_BITS, PIVOTS = 1 << 12, 7
-_FLUSH = 500_000
+#: Places of a row; they are told in two bytes.
+MATRIX_BITS, PIVOTS = 1 << 16, 7
+_FLUSH = 200_000
 
 
 def distinct_shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -270,62 +272,86 @@ def shared_prefix_tokens(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return packed.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "token bigint, s1 bigint, early boolean")
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bitmap of each document's tokens, and their number."""
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each document's tokens in a matrix row, sorted, and the number of its tokens."""
     for b in batches:
         for at, g, begin in _sets(b.column("text")):
-            rows = np.zeros((len(at), MATRIX_BITS), bool)
             n = np.diff(np.append(begin, len(g)))
-            rows[np.repeat(np.arange(len(at)), n), (g & np.uint64(MATRIX_BITS - 1)).astype(np.int64)] = True
-            yield record(["doc_id", "n", "bits"], b.column("doc_id").take(pa.array(at)), pa.array(n), pa.array([x.tobytes() for x in np.packbits(rows, axis=1)], pa.binary()))
-
-
-def matrix_rows(bits: DataFrame, members: DataFrame) -> DataFrame:
-    """(g, row): the bits of all tokens of a group's members; tasks merge what they have before the shuffle."""
+            place = (g & np.uint64(MATRIX_BITS - 1)).astype(np.uint16)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((place, doc))
+            place, doc = place[order], doc[order]
+            new = np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))
+            place, cut = place[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
+            yield record(["doc_id", "n", "places"], b.column("doc_id").take(pa.array(at)), pa.array(n), pa.array([place[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
+
+
+def _row(lists: list[np.ndarray], maps: list[np.ndarray]) -> bytes:
+    """The union of places as a sorted list, or as a bitmap where a list would not be shorter."""
+    own = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint16)
+    if not maps and 2 * len(own) < MATRIX_BITS // 8:
+        return own.tobytes()
+    bits = np.zeros(MATRIX_BITS, np.uint8)
+    bits[own] = 1
+    out = np.packbits(bits)
+    for x in maps:
+        out = out | x
+    return out.tobytes()
+
+
+def matrix_rows(places: DataFrame, members: DataFrame) -> DataFrame:
+    """(g, row): the places of all tokens of a group's members; tasks merge what they have before the shuffle."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: dict[int, np.ndarray] = {}
-            for g, x in zip(b.column("g").to_pylist(), b.column("bits").to_pylist(), strict=True):
-                y = np.frombuffer(x, np.uint8)
-                held[g] = held[g] | y if g in held else y
-            yield record(["g", "bits"], pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary()))
+            held: dict[int, list[np.ndarray]] = {}
+            for g, x in zip(b.column("g").to_pylist(), b.column("places").to_pylist(), strict=True):
+                held.setdefault(g, []).append(np.frombuffer(x, np.uint16))
+            yield record(["g", "row"], pa.array(list(held), pa.int64()), pa.array([_row(x, []) for x in held.values()], pa.binary()))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: dict[int, bytes] = {}
         for g, group in _grouped(batches, "g"):
-            out = np.zeros(MATRIX_BITS // 8, np.uint8)
-            for r in group:
-                for x in r.column("bits").to_pylist():
-                    out |= np.frombuffer(x, np.uint8)
-            done[g] = out.tobytes()
+            parts = [x for r in group for x in r.column("row").to_pylist()]
+            wide = [len(x) == MATRIX_BITS // 8 for x in parts]
+            done[g] = _row([np.frombuffer(x, np.uint16) for x, w in zip(parts, wide, strict=True) if not w], [np.frombuffer(x, np.uint8) for x, w in zip(parts, wide, strict=True) if w])
             if len(done) > 2000:
                 yield record(["g", "row"], pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.binary()))
                 done = {}
         yield record(["g", "row"], pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.binary()))
 
-    own = bits.join(members, "doc_id").select("g", "bits").mapInArrow(merge, "g bigint, bits binary")
+    own = places.join(members, "doc_id").select("g", "places").mapInArrow(merge, "g bigint, row binary")
     return own.repartition("g").sortWithinPartitions("g").mapInArrow(last, "g bigint, row binary")
 
 
+def _lacks(x: bytes, row: bytes) -> int:
+    """How many places of ``x`` are not in the row."""
+    at = np.frombuffer(x, np.uint16)
+    if len(row) == MATRIX_BITS // 8:
+        bits = np.frombuffer(row, np.uint8)
+        return int(np.count_nonzero((bits[at >> 3] >> (7 - (at & 7))) & 1 == 0))
+    r = np.frombuffer(row, np.uint16)
+    i = np.minimum(np.searchsorted(r, at), len(r) - 1)
+    return int(np.count_nonzero(r[i] != at))
+
+
 def _qualify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, r = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("bits", "row"))
-            n = b.column("n").to_numpy()
-            lacks = np.bitwise_count(x & ~r).sum(axis=1, dtype=np.int64)
-            at = pa.array(np.flatnonzero(100 * (n - lacks) >= percent * n))
+            n, lo = (b.column(c).to_numpy() for c in ("n", "lo"))
+            lacks = np.fromiter(map(_lacks, b.column("places").to_pylist(), b.column("row").to_pylist()), np.int64, b.num_rows)
+            # A partner has at least ``lo`` tokens and at least ``percent`` of n; both sizes ask for an overlap.
+            least = np.maximum(100 * lo, percent * n)
+            at = pa.array(np.flatnonzero((100 + percent) * 100 * (n - lacks) >= percent * (100 * n + least)))
             yield record(["doc_id", "g", "other", "n"], *[b.column(c).take(at) for c in ("doc_id", "g", "other", "n")])
 
     return run
 
 
-def _asked(own: DataFrame, pairs: DataFrame, bits: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+def _asked(own: DataFrame, pairs: DataFrame, places: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
     """(doc_id, g, other, n): members of g that the row of the group ``other`` does not rule out."""
-    asked = own.join(pairs, "g").join(bits, "doc_id").join(matrix.select(F.col("g").alias("other"), "row"), "other")
-    return asked.select("doc_id", "g", "other", "n", "bits", "row").mapInArrow(_qualify(percent), "doc_id bigint, g bigint, other bigint, n bigint")
+    asked = own.join(pairs, "g").join(places, "doc_id").join(matrix.select(F.col("g").alias("other"), "row", "lo"), "other")
+    return asked.select("doc_id", "g", "other", "n", "places", "row", "lo").mapInArrow(_qualify(percent), "doc_id bigint, g bigint, other bigint, n bigint")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,8 +362,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "d
     with_id = rows.where("doc_id is not null")
 
     keys = classes.select("rep", F.posexplode("keys").alias("i", "key"))
-    heads = keys.groupBy("i", "key").agg(F.min("rep").alias("head"), F.max("rep").alias("top")).where("head < top").drop("top")
-    near = stage(keys.join(heads, ["i", "key"]).where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "jaccard-near")
+    # The class that shares its keys with most others stands in the middle of its like: it heads them.
+    crowd = stage(keys.groupBy("i", "key").agg(F.count("*").alias("m")).where("m > 1"), "jaccard-crowds")
+    met = stage(keys.join(crowd, ["i", "key"]), "jaccard-keys")
+    weight = met.groupBy("rep").agg(F.sum("m").alias("w"))
+    heads = met.join(weight, "rep").groupBy("i", "key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("head"))
+    near = met.join(heads, ["i", "key"]).where("rep <> head").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"))
+    near = stage(near.distinct(), "jaccard-near")
     near_ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     links = stage(verified(near, stage(sets_of(with_id, near_ids), "jaccard-near-sets"), percent / 100).select("a", "b").distinct(), "jaccard-links")
     groups = stage(components(links), "jaccard-groups")
@@ -356,15 +387,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "d
 
     # The members of the smaller group ask the row of the larger one: a large group never asks for each of its small neighbours.
     pivot = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"] for i in range(PIVOTS)]
-    sizes = stage(members.groupBy("g").agg(F.count("*").alias("m"), F.array_distinct(F.array(F.min("doc_id"), *pivot)).alias("pivots")), "jaccard-group-sizes")
+    sizes = stage(members.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.array_distinct(F.array(F.min("doc_id"), *pivot)).alias("pivots")), "jaccard-group-sizes")
     size = lambda c: sizes.select(F.col("g").alias(c), F.col("m").alias(f"m_{c}"))
     turn = F.col("m_g") > F.col("m_other")
     pairs = open_.join(size("g"), "g").join(size("other"), "other")
     pairs = stage(pairs.select(F.when(turn, F.col("other")).otherwise(F.col("g")).alias("g"), F.when(turn, F.col("g")).otherwise(F.col("other")).alias("other")), "jaccard-pairs")
     own = stage(members.select("doc_id", "g").join(pairs.select("g").union(pairs.select("other")).distinct(), "g", "left_semi"), "jaccard-own")
-    bits = stage(read_some(with_id, own.select("doc_id"), _bits, "doc_id bigint, n bigint, bits binary"), "jaccard-bits")
-    matrix = stage(matrix_rows(bits, own), "jaccard-matrix")
-    able = stage(_asked(own, pairs, bits, matrix, percent), "jaccard-able")
+    places = stage(read_some(with_id, own.select("doc_id"), _places, "doc_id bigint, n bigint, places binary"), "jaccard-places")
+    matrix = stage(matrix_rows(places, own).join(sizes.select("g", "lo"), "g"), "jaccard-matrix")
+    able = stage(_asked(own, pairs, places, matrix, percent), "jaccard-able")
     # Opened first against a few members of the larger group, spread by hash.
     first = able.join(sizes.select(F.col("g").alias("other"), "pivots"), "other").select(F.col("doc_id").alias("x"), F.explode("pivots").alias("y"))
     first = stage(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-first")
@@ -376,7 +407,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "d
     apart = able.select("g", "other").distinct().join(now("g", "cg"), "g", "left").join(now("other", "co"), "other", "left").where(F.coalesce("cg", "g") != F.coalesce("co", "other")).select("g", "other")
     apart = stage(apart, "jaccard-apart")
     if apart.limit(1).count():
-        back = _asked(own, apart.select(F.col("other").alias("g"), F.col("g").alias("other")), bits, matrix, percent)
+        back = _asked(own, apart.select(F.col("other").alias("g"), F.col("g").alias("other")), places, matrix, percent)
         x = able.join(apart, ["g", "other"], "left_semi").select(F.col("doc_id").alias("x"), "g", "other", F.col("n").alias("nx"))
         y = back.select(F.col("doc_id").alias("y"), F.col("g").alias("other"), F.col("other").alias("g"), F.col("n").alias("ny"))
         rest = x.join(y, ["g", "other"]).where((100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")))
