@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import brute
@@ -161,3 +162,27 @@ def test_near_documents_are_a_query(spark):
         comp = {d: min(x, y) if c in (x, y) else c for d, c in comp.items()}
     want = {d: c for d, (_, c) in brute.jaccard_components([tuple(r) for r in docs]).items()}
     assert comp == want and len(set(want.values())) < len(want)
+
+
+def test_jaccard_opens_no_pairs_of_unlike_documents(spark, monkeypatch):
+    """A passage that all documents share, and a text of which all are edits: groups that open each other grow with the documents, not with their pairs."""
+    r, n, sizes = random.Random(9), 160, {}
+    passage = [f"p{i}" for i in range(300)]
+    rows = [(i, " ".join(passage + [f"own{i}x{j}" for j in range(45)])) for i in range(n)]
+    base = [f"b{i}" for i in range(150)]
+    for i in range(n):
+        w = list(base)
+        for j in r.sample(range(150), r.randrange(1, 12)):
+            w[j] = f"e{i}x{j}"
+        rows.append((1000 + i, " ".join(w)))
+    kept = jaccard_join.stage
+
+    def stage(df, name):
+        out = kept(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", stage)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.jaccard_components(rows)
+    assert sizes["jaccard-open"] <= 4 * n and sizes["jaccard-able"] <= 4 * n and sizes.get("jaccard-rest", 0) <= 4 * n, sizes
