@@ -242,7 +242,15 @@ def q_sweep(spark, folder):
     return s.select("step", F.round("bias", 4).alias("bias"), "n_alarms", "n_matched", F.round("f1", 6).alias("f1"))
 
 
-@query("signal_flicker")
+@query(
+    "signal_flicker",
+    f"""WITH th AS (SELECT l_suppkey % 25 AS video_id, CAST(floor(epoch_us(CAST(l_shipdate AS TIMESTAMP)) / 86400000000) AS BIGINT) * 1000000 AS t_us, l_partkey % 8 AS py, l_linenumber % 8 AS px, CAST(trunc(190 + max(l_quantity)) AS INT) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
+    lg AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY video_id, py, px ORDER BY t_us)) AS dv, v >= 200 AS hot FROM th),
+    g AS (SELECT video_id, t_us, avg(CASE WHEN hot THEN 1e0 ELSE 0e0 END) AS share, avg(dv) FILTER (hot) AS change, row_number() OVER (PARTITION BY video_id ORDER BY t_us) AS rn FROM lg GROUP BY 1, 2),
+    f AS (SELECT *, lag(rn) OVER w AS pr, lag(t_us) OVER w AS pt FROM g WHERE share >= {EVENTS['fire_smoke']['min_area_frac']}e0 AND change >= {EVENTS['fire_smoke']['flicker_thr']}e0 WINDOW w AS (PARTITION BY video_id ORDER BY t_us)),
+    i AS (SELECT *, sum(CASE WHEN rn = pr + 1 OR t_us - pt <= 1500000 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY t_us) AS isl FROM f)
+    SELECT video_id, min(t_us) AS start_us, max(t_us) AS end_us FROM i GROUP BY video_id, isl HAVING max(t_us) - min(t_us) >= {EVENTS['fire_smoke']['min_sec']}e0 * 1e6""",
+)
 def q_flicker(spark, folder):
     """The step-change rule over cells derived from the order lines: one picture per supplier and day."""
     from curbstream.plans.thumbnails import flicker_runs
