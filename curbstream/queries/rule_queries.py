@@ -8,7 +8,7 @@ from curbstream.operators import scene as sc
 from curbstream.plans import conflicts, detect, risk, rules, tuning
 from curbstream.plans.params import EVENTS, RISK, RISK_WEIGHTS
 from curbstream.queries import track_sql as q
-from curbstream.queries.metric_queries import BUCKET, CURVE, timeline
+from curbstream.queries.metric_queries import ALARMS, ASSIGN, BUCKET, CURVE, label_sql, timeline
 from curbstream.queries.online_queries import RISK_SQL, quantities
 from curbstream.queries.registry import query
 from curbstream.queries.scene_queries import scene_of
@@ -235,7 +235,19 @@ def q_fit(spark, folder):
     return spark.createDataFrame([(k, float(v)) for k, v in w.items()], "name string, weight double")
 
 
-@query("bias_sweep")
+STEPS, LOWEST = 61, RISK_WEIGHTS["bias"] - 4.0
+#: The step is part of the user number, so that the alarm SQL runs once for all of them.
+SWEEP = f"""{CURVE.replace('fr AS', 'fr0 AS').replace('acc AS', 'acc0 AS').replace('nm AS', 'nm0 AS')}, {FEATS}, stp AS (SELECT unnest(range(0, {STEPS})) AS step),
+  fr AS (SELECT step * 1000000 + user_id AS user_id, event_id, t_us, 1e0 / (1 + exp(-({LOWEST}e0 + step * 0.1e0 + 9e0 * f_ttc + 1e0 * f_conflict + 2.5e0 * f_wrong + 1e0 * f_ped - 3e0 * f_density))) AS score FROM ft, stp),
+  acc AS (SELECT step * 1000000 + user_id AS user_id, s, e, event_id FROM acc0, stp), nm AS (SELECT step * 1000000 + user_id AS user_id, s, e FROM nm0, stp), {ALARMS.replace('0.1e0', '0.5e0')},
+  ly AS (SELECT user_id, alarm_us FROM {label_sql('al', 'alarm_us')} WHERE y IS NOT NULL), {ASSIGN},
+  n AS (SELECT step, (SELECT count(*) FROM ly WHERE user_id // 1000000 = step) AS n_alarms, (SELECT count(*) FROM asg WHERE user_id // 1000000 = step) AS n_matched, (SELECT count(*) FROM acc0) AS n_acc FROM stp)"""
+
+
+@query(
+    "bias_sweep",
+    f"WITH RECURSIVE {SWEEP} SELECT CAST(step AS INT) AS step, round({LOWEST}e0 + step * 0.1e0, 4) AS bias, n_alarms, n_matched, round(CASE WHEN n_alarms + n_acc > 0 THEN 2e0 * n_matched / (n_alarms + n_acc) ELSE 0e0 END, 6) AS f1 FROM n",
+)
 def q_sweep(spark, folder):
     _, gt = timeline(spark, folder)
     s = tuning.bias_sweep(feature_rows(spark, folder), gt, RISK_WEIGHTS, "user_id", "t_us", "frame", bucket_us=BUCKET)
