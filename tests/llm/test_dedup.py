@@ -152,6 +152,16 @@ def test_near_documents_find_all_links(spark):
     assert comp == {d: c for d, (_, c) in brute.jaccard_components(rows).items()}
 
 
+def test_near_documents_need_no_common_band(docs, corpus):
+    """With a single band of all permutations hardly any like documents share it: the exact join must find their links."""
+    known = {d: t for d, t in pairs(corpus) if d is not None}
+    comp = {d: d for d in known}
+    for r in fingerprints.near_documents(docs, bands=1).collect():
+        x, y = comp[r.a], comp[r.b]
+        comp = {d: min(x, y) if c in (x, y) else c for d, c in comp.items()}
+    assert comp == {d: comp_id or d for d, (_, comp_id) in brute.jaccard_components(list(known.items())).items()}
+
+
 def test_near_documents_are_a_query(spark):
     from curbstream.llm.queries import QUERIES
 
