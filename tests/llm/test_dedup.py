@@ -196,3 +196,28 @@ def test_jaccard_opens_no_pairs_of_unlike_documents(spark, monkeypatch):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute.jaccard_components(rows)
     assert sizes["jaccard-open"] <= 4 * n and sizes["jaccard-able"] <= 4 * n and sizes.get("jaccard-rest", 0) <= 4 * n, sizes
+
+
+def test_jaccard_asks_few_members_of_a_large_group(spark, monkeypatch):
+    """Texts put together from edits of many members lie inside a large group's row but near no member: not all members are asked."""
+    r, m, n, base = random.Random(3), 90, 60, [f"b{i}" for i in range(300)]
+    edits = [{j: f"e{i}x{j}" for j in r.sample(range(300), 2)} for i in range(m)]
+    mixed = [{k: v for i in r.sample(range(m), 8) for k, v in edits[i].items()} for _ in range(n)]
+    rows = [(i, " ".join(e.get(j, w) for j, w in enumerate(base))) for i, e in enumerate(edits + mixed)]
+    asked, real = spark.sparkContext.accumulator(0), jaccard_join._qualify
+
+    def counted(percent):
+        run = real(percent)
+
+        def seen(batches):
+            for b in batches:
+                asked.add(b.num_rows)
+                yield b
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(jaccard_join, "_qualify", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.jaccard_components(rows)
+    assert len({c for _, c in got.values()}) > n // 2
+    assert 0 < asked.value <= 8 * (m + n), asked.value
