@@ -57,3 +57,18 @@ def test_copies_of_segments_are_dealt_over_tasks(spark, monkeypatch):
     grid = tuning.post_grid(spark, {"accident": {}}, {"accident": {"merge_gap": [0.0, 1.0]}})
     post.postprocess_each(seg, seg.select("video_id").distinct().withColumn("duration", F.lit(9.0)), grid)
     assert seen[0].where("param_id = 0").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_tracks_are_smoothed_in_batches_and_not_one_by_one(spark):
+    """Blocks cut by batches and blocks of copies only, which failed before, give the rows of one block a track."""
+    from curbstream.operators import tracks
+
+    raw, frames, videos = (f(spark, SF).filter("video_id = 0") for f in (fx.tracks_raw, fx.frames, fx.videos))
+    whole = tracks.build_tracks(raw, frames, videos)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    cut = tracks.build_tracks(raw, frames, videos, block_rows=16)
+    rounded = lambda d: {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in d.select("track_id", "frame", *tracks.MOTION).collect()}
+    try:
+        assert rounded(cut) == rounded(whole) and whole.count() > 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
