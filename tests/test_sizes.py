@@ -72,3 +72,16 @@ def test_tracks_are_smoothed_in_batches_and_not_one_by_one(spark):
         assert rounded(cut) == rounded(whole) and whole.count() > 1000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_learned_cells_are_not_broadcast(spark):
+    """They compress to a few bytes a cell, so that the planner took the cells of many videos for a small table."""
+    from curbstream.operators import scene as sc
+
+    cells = stage(spark.range(0, 200_000, 1, 1).select((F.col("id") / 400).cast("bigint").alias("video_id"), (F.col("id") % 36).cast("int").alias("iy"), (F.col("id") % 64).cast("int").alias("ix"), F.lit(True).alias("road"), F.lit(1.0).alias("depth_cells"), F.lit(False).alias("queue"), F.lit(False).alias("crosswalk")), "cells")
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<pts: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>)")
+    drawn = spark.range(0, 500).select(F.col("id").alias("video_id"), *[none.alias(k) for k in ("carriageway", "non_road", "crosswalks", "queue_zones")])
+    rows = spark.range(0, 100_000).select((F.col("id") % 500).alias("video_id"), (F.col("id") % 1280).cast("double").alias("foot_x"), (F.col("id") % 720).cast("double").alias("foot_y"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
+    plan = sc.locate(rows, drawn, cells)._jdf.queryExecution().sparkPlan().toString()
+    found = [x for x in plan.split("\n") if "Join" in x and "iy#" in x]
+    assert found and all("SortMergeJoin" in x for x in found), plan
