@@ -1,4 +1,7 @@
-"""Time lookups: as-of, nearest, and state-at-time over phases."""
+"""Time lookups: as-of, nearest, and state-at-time over phases.
+
+A scan reads its input twice, so an input that took joins or scans itself is staged first.
+"""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -7,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbstream.operators.ordered import DAY_US, Scan, ordered_scan, with_chunk
+from curbstream.session import stage
 
 UNKNOWN = "unknown"
 
@@ -42,7 +46,7 @@ def _both_sides(probes, facts, keys, t_us, values, ties, chunk_us, kinds, tolera
     p = probes.withColumn("__side", F.lit(1)).withColumn("__fact", F.lit(None).cast(f.schema["__fact"].dataType))
     u = with_chunk(f.unionByName(p, allowMissingColumns=True), t_us, chunk_us, "__chunk")
     scans = [Scan(k, "__fact", f"__{k}") for k in kinds]
-    u = ordered_scan(u, keys, "__chunk", [t_us, "__side", *ties], scans).filter("__side = 1")
+    u = ordered_scan(stage(u, "lookup_sides"), keys, "__chunk", [t_us, "__side", *ties], scans).filter("__side = 1")
     if len(kinds) == 1:
         pick: Column = F.col("__last")
     else:
@@ -61,7 +65,7 @@ def phases_from_samples(samples: DataFrame, keys: Sequence[str], t_us: str, stat
     order = [t_us, *ties]
     d = with_chunk(samples, t_us, chunk_us, "__chunk")
     d = ordered_scan(d, keys, "__chunk", order, [Scan("lag", state, "__prev"), Scan("lead", t_us, "__next_t")])
-    d = d.withColumn("__new", F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col(state)), 1).otherwise(0))
+    d = stage(d.withColumn("__new", F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col(state)), 1).otherwise(0)), "phase_starts")
     d = ordered_scan(d, keys, "__chunk", order, [Scan("sum", "__new", "__ph")])
     tail = tail_us if isinstance(tail_us, Column) else F.lit(tail_us)
     d = d.withColumn("__end", F.coalesce(F.col("__next_t"), F.col(t_us) + tail))
