@@ -24,6 +24,7 @@ def flicker_runs(thumbs: DataFrame, p: Mapping, keys: tuple = ("video_id",)) ->
     mask = (F.col("h") <= 30) & (F.col("s") >= 120) & (F.col("v") >= 200)
     g = d.groupBy(*keys, "t_us").agg(F.avg(mask.cast("double")).alias("share"), F.avg(F.when(mask, F.abs(F.col("v") - F.col("__pv")))).alias("change"))
     g = g.withColumn("fire", F.coalesce((F.col("share") >= p["min_area_frac"]) & (F.col("change") >= p["flicker_thr"]), F.lit(False)))
+    g = stage(g.select(*keys, "t_us", "fire"), "flicker")
     return runs(g, list(keys), "t_us", "fire", sec(p["min_sec"]), 1_500_000, CHUNK).drop("island", "n_rows")
 
 
@@ -41,10 +42,11 @@ def static_blobs(x, p: Mapping) -> DataFrame:
     Only ``video_id, t_us, py, px, gray`` of the pictures are read. A cell's background comes from its own past, a picture's
     regions from its foreground cells alone, so no task holds a picture of all times. Videos with fewer than 20 pictures have none.
     """
-    size = x.thumbs.groupBy("video_id").agg((F.max("py") + 1).alias("gh"), (F.max("px") + 1).alias("gw"), F.count_distinct("t_us").alias("pictures")).filter(F.col("pictures") >= LEAST_PICTURES)
+    times = stage(x.thumbs.groupBy("video_id", "t_us").agg((F.max("py") + 1).alias("gh"), (F.max("px") + 1).alias("gw")), "picture_times")
+    size = times.groupBy("video_id").agg(F.max("gh").alias("gh"), F.max("gw").alias("gw"), F.count(F.lit(1)).alias("pictures")).filter(F.col("pictures") >= LEAST_PICTURES)
     size = stage(size.drop("pictures"), "picture_sizes")
     vid = x.videos.select("video_id", "width", "height").join(size, "video_id")
-    fg = static_cells(x.thumbs, p).join(size, "video_id")
+    fg = stage(static_cells(x.thumbs, p), "picture_foreground").join(size, "video_id")
     fg = fg.withColumnsRenamed({"py": "iy", "px": "ix"})
     # Opening with a 3x3 square; cells outside the picture do not erode.
     n = sc.spread(fg).groupBy("video_id", "t_us", "iy", "ix", "gh", "gw").agg(F.count(F.lit(1)).alias("n"))
@@ -54,16 +56,16 @@ def static_blobs(x, p: Mapping) -> DataFrame:
     fg = fg.join(vid, "video_id").withColumns({"cx": (F.col("ix") + 0.5) * F.col("width") / F.col("gw"), "cy": (F.col("iy") + 0.5) * F.col("height") / F.col("gh"), "py": F.col("iy"), "px": F.col("ix")}).drop("iy", "ix")
     fg = sc.locate(fg, x.scene, x.cells, "cx", "cy").filter("on_road").select("video_id", "t_us", "py", "px", "width", "height", "gw", "gh")
     # The boxed frame nearest in time, if within a second.
-    t = x.thumbs.select("video_id", "t_us").distinct().withColumns({"lo": F.col("t_us") - 999_999, "hi": F.col("t_us") + 999_999})
+    t = times.select("video_id", "t_us").withColumns({"lo": F.col("t_us") - 999_999, "hi": F.col("t_us") + 999_999})
     fr = x.tracks.select("video_id", F.col("t_us").alias("bt")).distinct()
     near = overlap_join(fr, t, ["video_id"], ("bt", "bt"), ("lo", "hi"), 60_000_000).groupBy("video_id", "t_us").agg(F.min_by("bt", F.struct(F.abs(F.col("bt") - F.col("t_us")), "bt")).alias("bt"))
     b = x.tracks.select("video_id", F.col("t_us").alias("bt"), "x1", "y1", "x2", "y2").join(near, ["video_id", "bt"]).drop("bt").withColumn("pad", 0.2 * (F.col("x2") - F.col("x1"))).withColumnsRenamed({"video_id": "bv", "t_us": "bt"})
     sx, sy = F.col("gw") / F.col("width"), F.col("gh") / F.col("height")
     hit = (F.col("py") >= F.floor((F.col("y1") - F.col("pad")) * sy)) & (F.col("py") <= F.floor((F.col("y2") + F.col("pad")) * sy)) & (F.col("px") >= F.floor((F.col("x1") - F.col("pad")) * sx)) & (F.col("px") <= F.floor((F.col("x2") + F.col("pad")) * sx))
-    fg = fg.join(b, (F.col("video_id") == F.col("bv")) & (F.col("t_us") == F.col("bt")) & hit, "left_anti").select("video_id", "t_us", "py", "px").withColumn("fg", F.lit(1))
+    fg = stage(fg.join(b, (F.col("video_id") == F.col("bv")) & (F.col("t_us") == F.col("bt")) & hit, "left_anti").select("video_id", "t_us", "py", "px"), "picture_things").withColumn("fg", F.lit(1))
     # Sample numbers make "held n samples in a row" a difference of counts.
-    ts = x.thumbs.select("video_id", "t_us").distinct()
-    ts = ordered_scan(with_chunk(ts, "t_us", DAY_US), ["video_id"], "chunk", ["t_us"], [Scan("count", "t_us", "k"), Scan("lag", "t_us", "__p")])
+    ts = with_chunk(times.select("video_id", "t_us"), "t_us", DAY_US)
+    ts = stage(ordered_scan(ts, ["video_id"], "chunk", ["t_us"], [Scan("count", "t_us", "k"), Scan("lag", "t_us", "__p")]), "picture_numbers")
     step = exact_quantiles(ts.filter("__p IS NOT NULL").withColumn("dt", F.col("t_us") - F.col("__p")), ["video_id"], "dt", {"step": 0.5}, 1e5).drop("n")
     hold = step.select("video_id", F.greatest(F.lit(2), F.bround(F.lit(sec(p["blob_min_sec"])) / F.greatest("step", F.lit(1_000)))).cast("bigint").alias("hold"))
     cell = ["video_id", "py", "px"]

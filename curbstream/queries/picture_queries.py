@@ -23,14 +23,21 @@ BOX = "(v % 3 <> 0 AND t >= 30 AND t < 50 + v % 20 AND py >= y0 AND py < y0 + 3
 PICTURES = f"""SELECT v AS video_id, t * 1000000 AS t_us, py, px, CASE WHEN flame THEN 20 ELSE 90 END AS h, CASE WHEN flame THEN 200 ELSE 40 END AS s, CASE WHEN flame THEN 205 + ((t * 7 + px * 3 + py) % 5) * 12 ELSE 120 END AS v,
   60 + (px * 5 + py * 3) % 40 + (t * px + py) % 7 + CASE WHEN {BOX} THEN 80 ELSE 0 END AS gray
   FROM (SELECT *, v % 4 = 1 AND t >= 20 AND t < 24 + v % 30 AND py < 4 AND px >= 6 AND px < 9 AS flame, CASE WHEN v % 7 = 0 THEN 0 ELSE 6 END AS y0, CASE WHEN v % 5 = 0 THEN 2 ELSE 4 END AS wide FROM ({{source}}) src) p"""
-SPARK_SOURCE = f"SELECT s_suppkey AS v, t, py, px FROM {{supplier}} LATERAL VIEW explode(sequence(0L, {SECONDS - 1}L)) AS t LATERAL VIEW explode(sequence(0, {ROWS - 1})) AS py LATERAL VIEW explode(sequence(0, {COLS - 1})) AS px"
+SPARK_SOURCE = f"""SELECT /*+ BROADCAST(c) */ s_suppkey AS v, c.id DIV {ROWS * COLS} AS t, CAST(c.id % {ROWS * COLS} DIV {COLS} AS INT) AS py, CAST(c.id % {COLS} AS INT) AS px
+  FROM {{supplier}} CROSS JOIN {{cells}} c"""
 DUCK = f"th AS ({PICTURES.format(source=f'SELECT s_suppkey AS v, t, py, px FROM supplier, (SELECT unnest(range(0, {SECONDS})) AS t), (SELECT unnest(range(0, {ROWS})) AS py), (SELECT unnest(range(0, {COLS})) AS px)')})"
 PATH = [[0, 60], [WIDTH, 60], [WIDTH, HEIGHT], [0, HEIGHT]]
 P = EVENTS["road_obstacle"]
 
 
+def _suppliers(spark, folder):
+    """Short rows that each become many: dealt over tasks first, as their file is a single split."""
+    return table(spark, folder, "supplier").select("s_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+
+
 def pictures(spark, folder):
-    return spark.sql(PICTURES.format(source=SPARK_SOURCE), supplier=table(spark, folder, "supplier").select("s_suppkey"))
+    # Cross joined with numbers, which tells the planner how many rows come out; exploded ones it would broadcast.
+    return spark.sql(PICTURES.format(source=SPARK_SOURCE), supplier=_suppliers(spark, folder), cells=spark.range(0, SECONDS * ROWS * COLS, 1, 1))
 
 
 def inputs(spark, folder) -> rules.Tables:
@@ -39,7 +46,7 @@ def inputs(spark, folder) -> rules.Tables:
     shapes, moves, right = scene_shapes(spark, {"normalized": False, "image_size": [WIDTH, HEIGHT], "carriageway": [PATH]})
     none = spark.createDataFrame([], "video_id bigint, iy int, ix int, road boolean, depth_cells double, queue boolean, crosswalk boolean")
     # A vehicle over the place of the box, in every second series.
-    at = sup.filter("video_id % 2 = 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SECONDS - 1))))
+    at = _suppliers(spark, folder).select(F.col("s_suppkey").alias("video_id")).filter("video_id % 2 = 0").crossJoin(F.broadcast(spark.range(0, SECONDS, 1, 1).withColumnRenamed("id", "t")))
     x1 = (3 + F.col("video_id") % 9) * 20.0
     boxes = at.select("video_id", (F.col("t") * 1_000_000 + 300_000).cast("bigint").alias("t_us"), x1.alias("x1"), F.lit(125.0).alias("y1"), (x1 + 75.0).alias("x2"), F.lit(175.0).alias("y2"))
     return rules.Tables(boxes, videos, videos, sc.scene_rows(shapes_for_videos(shapes, videos), videos, moves, right), none, none, none, pictures(spark, folder))

@@ -85,3 +85,12 @@ def test_learned_cells_are_not_broadcast(spark):
     plan = sc.locate(rows, drawn, cells)._jdf.queryExecution().sparkPlan().toString()
     found = [x for x in plan.split("\n") if "Join" in x and "iy#" in x]
     assert found and all("SortMergeJoin" in x for x in found), plan
+
+
+def test_pictures_are_not_taken_for_few(spark):
+    """Exploded cells were taken for the few suppliers they come from, and what is worked out from them was broadcast."""
+    from curbstream.queries import picture_queries as pq
+
+    for d in (pq.pictures(spark, SF), pq.inputs(spark, SF).tracks):
+        assert estimate(d) >= 8 * d.count()
+        assert d.select(F.spark_partition_id().alias("p")).distinct().count() > 1
