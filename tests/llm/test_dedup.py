@@ -152,6 +152,30 @@ def test_near_documents_find_all_links(spark):
     assert comp == {d: c for d, (_, c) in brute.jaccard_components(rows).items()}
 
 
+def test_near_documents_lose_no_link_of_different_texts(spark):
+    """Every pair of different sets and not only enough of them to connect; ids with several texts; copies hang on the smallest id."""
+    r, base, rows = random.Random(4), [f"b{i}" for i in range(120)], []
+    for i in range(40):
+        w = list(base)
+        for j in r.sample(range(120), r.randrange(0, 4)):
+            w[j] = f"e{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(50, rows[3][1].upper()), (51, " ".join(f"o{i}" for i in range(40))), (52, " ".join(f"o{i}" for i in range(41))), (7, rows[-1][1] + " o40"), (5, "of its own " * 9), (None, rows[0][1])]
+    classes = {}
+    for d, t in rows:
+        if d is not None:
+            classes.setdefault(frozenset(brute.shingle_set(t)), set()).add(d)
+    want = {(min(ds), d): 1.0 for ds in classes.values() for d in ds if d > min(ds)}
+    for x in classes:
+        for y in classes:
+            a, b, like = min(classes[x]), min(classes[y]), len(x & y) / len(x | y)
+            if a < b and like >= 0.8:
+                want[a, b] = max(like, want.get((a, b), 0.0))
+    got = fingerprints.near_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert len(got) == len({(x.a, x.b) for x in got}) and len(want) > 100
+    assert {(x.a, x.b): pytest.approx(x.jaccard) for x in got} == want
+
+
 def test_near_documents_need_no_common_band(docs, corpus):
     """With a single band of all permutations hardly any like documents share it: the exact join must find their links."""
     known = {d: t for d, t in pairs(corpus) if d is not None}
